@@ -10,12 +10,15 @@ shuffles the candidates once per block. Here they meet at the grain they belong
    counts by hour and day in another. Candidates are joined with these two only.
 
 History, pairs and the product table have several consumers that need different columns, so
-each is written once (see ``materialise``). Their sizes are then known to Spark, which
-broadcasts the product table where it is small and shuffles where it is not.
+each is written once (see ``materialise``) and serves the training and the test matrix. Their
+sizes are then known to Spark, which broadcasts the product table where it is small and
+shuffles where it is not.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +47,9 @@ from encore.operators.users import order_grain, user_columns, user_level
 from encore.session import materialise
 
 
-def single_targets(orders: DataFrame, eval_set: str) -> DataFrame:
+def single_targets(orders: DataFrame) -> DataFrame:
     """Target orders, one per user; a user with two of them is an error in the input."""
-    targets = target_orders(orders, eval_set)
+    targets = target_orders(orders)
     rest = [name for name in targets.columns if name != "user_id"]
     checked = targets.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_n"), *[F.first(name).alias(name) for name in rest]
@@ -90,23 +93,31 @@ def matrix_pairs(history: DataFrame, targets: DataFrame, truth_lines: DataFrame
     return with_gaps(pairs.filter(F.col("n") > 0))
 
 
-def assemble(
+@dataclass(frozen=True)
+class FeatureTables:
+    """What the matrices of training and test candidates are both joined from."""
+
+    history: DataFrame
+    pairs: DataFrame
+    cube: DataFrame
+    product_side: DataFrame
+    products: DataFrame
+    targets: DataFrame
+
+
+def feature_tables(
     history: DataFrame,
     targets: DataFrame,
     products: DataFrame,
     truth_lines: DataFrame | None = None,
-    params: FeatureParams = FeatureParams(),
-    folds: int = FOLDS,
-) -> DataFrame:
-    """Matrix of the candidates of ``targets``.
+) -> FeatureTables:
+    """Aggregate the history once, for all target orders.
 
     ``history`` holds the prior purchases of all users, with ``interval_accu`` and the
-    columns of ``toward_target``. With ``truth_lines`` the matrix has ``label`` and ``seed``.
+    columns of ``toward_target``. It is read three times, so it should be a stored table.
     """
-    history = materialise(history, "history")
     pairs = materialise(matrix_pairs(history, targets, truth_lines), "pairs")
     cube = materialise(time_cube(history), "cube")
-
     per_product = product_level(pairs)
     categories = product_category_level(
         per_product.select("product_id", F.col("prod_nrorder").alias("rcnt")), products
@@ -115,11 +126,24 @@ def assemble(
         per_product.join(categories, "product_id").join(product_profile(cube), "product_id"),
         "products",
     )
+    return FeatureTables(history, pairs, cube, product_side, products, targets)
+
 
-    pairs = with_product_detail(pairs, products)
+def matrix_of(
+    tables: FeatureTables,
+    eval_set: str,
+    params: FeatureParams = FeatureParams(),
+    folds: int = FOLDS,
+) -> DataFrame:
+    """The candidates of one evaluation set with all features.
+
+    ``train`` comes with ``label`` and ``seed`` if the tables were built with truth.
+    """
+    targets = tables.targets.filter(F.col("eval_set") == eval_set).drop("eval_set")
+    pairs = with_product_detail(tables.pairs, tables.products)
     users = user_level(
         pairs,
-        order_grain(history),
+        order_grain(tables.history),
         F.sum("n_reordered").alias("user_rcnt"),
         F.sum("prod_user_hour_rcnt").alias("user_hour_rcnt"),
         F.sum("prod_user_week_rcnt").alias("user_week_rcnt"),
@@ -128,14 +152,14 @@ def assemble(
 
     rows = (
         pairs.join(user_side, ["user_id", "aisle_id", "department_id"])
-        .join(product_side.drop("aisle_id", "department_id"), "product_id")
+        .join(tables.product_side.drop("aisle_id", "department_id"), "product_id")
         .withColumn("prod_user_rcnt", F.col("n_reordered"))
     )
     rows = with_slot_counts(
         with_slot_totals(
             rows,
-            slot_totals(cube, "order_hour_of_day", "hour_cnt"),
-            slot_totals(cube, "order_dow", "week_cnt"),
+            slot_totals(tables.cube, "order_hour_of_day", "hour_cnt"),
+            slot_totals(tables.cube, "order_dow", "week_cnt"),
         )
     )
     columns = {
@@ -146,10 +170,10 @@ def assemble(
         **time_columns(params),
         **id_columns(params),
     }
-    labels = ["label"] if truth_lines is not None else []
-    matrix = rows.select(*KEYS, *labels, *[columns[name].alias(name) for name in ALL_FEATURES])
-    if not labels:
-        return matrix
+    features = [columns[name].alias(name) for name in ALL_FEATURES]
+    if eval_set != "train" or "label" not in tables.pairs.columns:
+        return rows.select(*KEYS, *features)
+    matrix = rows.select(*KEYS, "label", *features)
     return with_folds(matrix, folds).select(*KEYS, "label", "seed", *ALL_FEATURES)
 
 
@@ -168,10 +192,13 @@ def feature_matrix(
     Candidates follow from the history; pass ``candidates`` (with any label columns of their
     own) to keep only some of them.
     """
-    orders = order_interval_accu(orders)
-    targets = single_targets(orders, eval_set)
-    history = purchase_history(prior_lines, toward_target(orders, targets))
-    matrix = assemble(history, targets, products, truth_lines, params, folds)
+    orders = materialise(order_interval_accu(orders), "orders")
+    targets = single_targets(orders)
+    history = materialise(
+        purchase_history(prior_lines, toward_target(orders, targets)), "history"
+    )
+    tables = feature_tables(history, targets, products, truth_lines)
+    matrix = matrix_of(tables, eval_set, params, folds)
     if candidates is None:
         return matrix
     return candidates.join(matrix.drop("label", "seed"), KEYS)

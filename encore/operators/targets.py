@@ -19,6 +19,7 @@ def target_orders(orders: DataFrame, eval_set: str | None = None) -> DataFrame:
     return orders.filter(wanted).select(
         "order_id",
         "user_id",
+        "eval_set",
         F.col("order_number").alias("target_number"),
         F.col("order_dow").alias("target_dow"),
         F.col("order_hour_of_day").alias("target_hour"),

@@ -123,24 +123,26 @@ def all_purchases(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFr
     )
 
 
+def prior(purchases: DataFrame) -> DataFrame:
+    """History rows (see ``purchase_history``) among all purchases."""
+    return purchases.filter(F.col("eval_set") == "prior").drop("eval_set", "first_line")
+
+
 def history(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
-    """Purchases of prior orders only, with the columns of ``orders`` (see ``purchase_history``)."""
-    bought = all_purchases(spark, sf_dir, orders.filter(F.col("eval_set") == "prior"))
-    return bought.drop("eval_set", "first_line")
+    """Purchases of prior orders only; lines of other orders are not read into the joins."""
+    wanted = orders.filter(F.col("eval_set") == "prior")
+    return prior(all_purchases(spark, sf_dir, wanted))
 
 
-def canonical_order_products(spark: SparkSession, sf_dir: str, eval_set: str) -> DataFrame:
-    """Lines of ``prior`` or ``train`` orders; those of ``test`` orders are what is asked for."""
-    orders = canonical_orders(spark, sf_dir).select(
-        "order_id", "user_id", "eval_set", "order_number"
-    )
+def order_products(purchases: DataFrame, eval_set: str) -> DataFrame:
+    """Lines of ``prior`` or ``train`` orders; those of ``test`` orders are what is asked for.
+
+    The cart position is a window over one order, which the product range bounds.
+    """
     in_order = W.partitionBy("order_id").orderBy("first_line", "product_id")
-    return (
-        all_purchases(spark, sf_dir, orders).filter(F.col("eval_set") == eval_set)
-        .select(
-            "order_id",
-            "product_id",
-            F.row_number().over(in_order).alias("add_to_cart_order"),
-            "reordered",
-        )
+    return purchases.filter(F.col("eval_set") == eval_set).select(
+        "order_id",
+        "product_id",
+        F.row_number().over(in_order).alias("add_to_cart_order"),
+        "reordered",
     )
