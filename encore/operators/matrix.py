@@ -19,10 +19,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.config import ALL_FEATURES, FOLDS, KEYS, FeatureParams
+from encore.config import (
+    ALL_FEATURES,
+    FOLDS,
+    KEYS,
+    PRODUCT_FEATURES,
+    USER_FEATURES,
+    FeatureParams,
+)
 from encore.functions.columns import flag
 from encore.operators.candidates import with_folds
 from encore.operators.categories import (
@@ -93,6 +100,17 @@ def matrix_pairs(history: DataFrame, targets: DataFrame, truth_lines: DataFrame
     return with_gaps(pairs.filter(F.col("n") > 0))
 
 
+# Features of the wider families that the user, the product, or user and category determine.
+USER_SLOT = ["hour_user_reorder_prob", "week_user_reorder_prob"]
+USER_TARGET = ["user_lastorder_interval", "user_lastorder_interval_ratio"]
+USER_CATEGORY = ["aisle_user_reorder_prob", "dep_user_reorder_prob"]
+PRODUCT_CATEGORY = ["prod_aisle_reorder_prob", "prod_dep_reorder_prob"]
+
+
+def _some(columns: dict[str, Column], names: list[str]) -> dict[str, Column]:
+    return {name: columns[name] for name in names}
+
+
 @dataclass(frozen=True)
 class FeatureTables:
     """What the matrices of training and test candidates are both joined from."""
@@ -110,6 +128,7 @@ def feature_tables(
     targets: DataFrame,
     products: DataFrame,
     truth_lines: DataFrame | None = None,
+    params: FeatureParams = FeatureParams(),
 ) -> FeatureTables:
     """Aggregate the history once, for all target orders.
 
@@ -122,10 +141,16 @@ def feature_tables(
     categories = product_category_level(
         per_product.select("product_id", F.col("prod_nrorder").alias("rcnt")), products
     )
-    product_side = materialise(
-        per_product.join(categories, "product_id").join(product_profile(cube), "product_id"),
-        "products",
+    product_side = (
+        per_product.join(categories, "product_id").join(product_profile(cube), "product_id")
+        .withColumns(product_columns(params))
+        .withColumns(_some(id_columns(params), PRODUCT_CATEGORY))
+        .select(
+            "product_id", "prod_order_gap", "prod_cnt", "prod_rcnt", "by_hour", "by_dow",
+            *PRODUCT_FEATURES, *PRODUCT_CATEGORY,
+        )
     )
+    product_side = materialise(product_side, "products")
     return FeatureTables(history, pairs, cube, product_side, products, targets)
 
 
@@ -148,11 +173,26 @@ def matrix_of(
         F.sum("prod_user_hour_rcnt").alias("user_hour_rcnt"),
         F.sum("prod_user_week_rcnt").alias("user_week_rcnt"),
     ).join(targets, "user_id")
-    user_side = user_category_level(pairs).join(users, "user_id")
-
+    # Whatever depends on the user alone is computed here, once per user, and whatever
+    # depends on user and category once per such row; the last projection is left with the rest.
+    users = (
+        users.withColumns(user_columns())
+        .withColumns(_some(time_columns(params), USER_SLOT))
+        .withColumns(_some(target_columns(params), USER_TARGET))
+        .select(
+            "order_id", "user_id", "user_rcnt", "user_order_gap", "user_last_order",
+            "target_number", "target_days", "target_dow", "target_hour",
+            *USER_FEATURES, *USER_SLOT, *USER_TARGET,
+        )
+    )
+    user_side = (
+        user_category_level(pairs).join(users, "user_id")
+        .withColumns(_some(id_columns(params), USER_CATEGORY))
+        .drop("user_aisle_rcnt", "user_dep_rcnt", "user_rcnt")
+    )
     rows = (
         pairs.join(user_side, ["user_id", "aisle_id", "department_id"])
-        .join(tables.product_side.drop("aisle_id", "department_id"), "product_id")
+        .join(tables.product_side, "product_id")
         .withColumn("prod_user_rcnt", F.col("n_reordered"))
     )
     rows = with_slot_counts(
@@ -163,14 +203,13 @@ def matrix_of(
         )
     )
     columns = {
-        **user_columns(),
-        **product_columns(params),
-        **user_product_columns(params),
-        **target_columns(params),
-        **time_columns(params),
-        **id_columns(params),
+        **user_product_columns(params), **target_columns(params), **time_columns(params)
     }
-    features = [columns[name].alias(name) for name in ALL_FEATURES]
+    done = {*USER_SLOT, *USER_TARGET}
+    features = [
+        columns[name].alias(name) if name in columns and name not in done else F.col(name)
+        for name in ALL_FEATURES
+    ]
     if eval_set != "train" or "label" not in tables.pairs.columns:
         return rows.select(*KEYS, *features)
     matrix = rows.select(*KEYS, "label", *features)
@@ -197,7 +236,7 @@ def feature_matrix(
     history = materialise(
         purchase_history(prior_lines, toward_target(orders, targets)), "history"
     )
-    tables = feature_tables(history, targets, products, truth_lines)
+    tables = feature_tables(history, targets, products, truth_lines, params)
     matrix = matrix_of(tables, eval_set, params, folds)
     if candidates is None:
         return matrix

@@ -16,6 +16,7 @@ from encore.config import (
     DECISION_THRESHOLD,
     ENSEMBLE_BRACKET,
     HOLDOUT_DROPPED,
+    ID_FEATURES,
     KEYS,
     ForestParams,
     GbtParams,
@@ -76,48 +77,55 @@ class Retail:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, store: bool):
-        self.spark, self.sf_dir, self.store = tune(spark), sf_dir, store
+        self.spark, self.store = tune(spark), store
+        self.star = star.Star.load(self.spark, sf_dir)
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         return materialise(df, name) if self.store else df
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self._kept(star.canonical_orders(self.spark, self.sf_dir), "orders")
+        return self._kept(star.canonical_orders(self.star), "orders")
 
     @cached_property
     def accu_orders(self) -> DataFrame:
-        return history.order_interval_accu(self.orders)
+        return self._kept(history.order_interval_accu(self.orders), "accu-orders")
 
     @cached_property
     def purchases(self) -> DataFrame:
         return self._kept(
-            star.all_purchases(self.spark, self.sf_dir, self.orders), "purchases"
+            star.all_purchases(self.star, self.orders), "purchases"
         )
 
+    def order_products(self, eval_set: str) -> DataFrame:
+        bought = star.all_purchases(self.star, self.orders, cart=True)
+        return star.order_products(bought, eval_set)
+
     @cached_property
     def prior_lines(self) -> DataFrame:
-        return star.order_products(self.purchases, "prior")
+        return self.history.select("order_id", "product_id", "reordered")
 
     @cached_property
     def truth_lines(self) -> DataFrame:
-        return star.order_products(self.purchases, "train")
+        return self.purchases.filter("eval_set = 'train'").select(
+            "order_id", "product_id", "reordered"
+        )
 
     @cached_property
     def products(self) -> DataFrame:
-        return star.canonical_products(self.spark, self.sf_dir)
+        return star.canonical_products(self.star)
 
     @cached_property
     def history(self) -> DataFrame:
         """Prior purchases with their order's context, without the running day count."""
         if self.store:
             return star.prior(self.purchases)
-        return star.history(self.spark, self.sf_dir, self.orders)
+        return star.history(self.star, self.orders)
 
     @cached_property
     def accu_history(self) -> DataFrame:
         return self._kept(
-            star.history(self.spark, self.sf_dir, self.accu_orders), "history"
+            star.history(self.star, self.accu_orders), "history"
         )
 
     @cached_property
@@ -151,12 +159,13 @@ class Retail:
 
     @cached_property
     def tables(self) -> matrix.FeatureTables:
-        orders = materialise(self.accu_orders, "accu-orders")
+        orders = self.accu_orders
         wanted = matrix.single_targets(orders)
-        bought = materialise(
-            star.all_purchases(self.spark, self.sf_dir, matrix.toward_target(orders, wanted)),
-            "purchases",
-        )
+        ahead = matrix.toward_target(orders, wanted)
+        if "purchases" in self.__dict__:
+            bought = materialise(history.purchase_history(self.prior_lines, ahead), "history")
+            return matrix.feature_tables(bought, wanted, self.products, self.truth_lines)
+        bought = materialise(star.all_purchases(self.star, ahead), "purchases")
         return matrix.feature_tables(
             star.prior(bought), wanted, self.products, bought.filter("eval_set = 'train'")
         )
@@ -171,8 +180,6 @@ class Retail:
 
 Query = Callable[[Retail], DataFrame]
 QUERIES: dict[str, Query] = {}
-# Queries that use the canonical tables once only.
-SINGLE_USE: set[str] = set()
 
 
 def query(function: Query) -> Query:
@@ -184,10 +191,25 @@ def register(name: str, function: Query) -> None:
     QUERIES[name] = function
 
 
+# Queries that read each canonical table once; the others store them first.
+SINGLE_USE = {
+    "canonical_orders", "canonical_order_products", "canonical_order_products_train",
+    "canonical_products", "orders_csv_roundtrip", "order_products_csv_roundtrip",
+    "products_csv_roundtrip", "user_products", "fold_assignment", "hour_counts", "dow_counts",
+    "product_counts", "product_hour_counts", "product_dow_counts", "user_reorder_counts",
+    "user_hour_counts", "user_dow_counts", "user_product_reorder_counts",
+    "user_product_hour_counts", "user_product_dow_counts", "user_aisle_counts",
+    "user_department_counts", "product_aisle_counts", "product_department_counts",
+    "aisle_counts", "department_counts", "product_reorder_stats", "product_reorder_rate",
+    "product_user_reorder", "product_reorder_gap", "product_dow_smoothed",
+    "product_hour_smoothed", "user_dow_share", "user_hour_share", "user_interval_avg",
+    "user_product_last",
+}
+
 # Sources.
 register("canonical_orders", lambda t: t.orders)
-register("canonical_order_products", lambda t: t.prior_lines)
-register("canonical_order_products_train", lambda t: t.truth_lines)
+register("canonical_order_products", lambda t: t.order_products("prior"))
+register("canonical_order_products_train", lambda t: t.order_products("train"))
 register("canonical_products", lambda t: t.products)
 
 
@@ -204,7 +226,7 @@ def orders_csv_roundtrip(t):
 
 @query
 def order_products_csv_roundtrip(t):
-    return files.read_order_products(t.spark, _delimited(t, t.prior_lines, "lines", ","))
+    return files.read_order_products(t.spark, _delimited(t, t.order_products("prior"), "lines", ","))
 
 
 @query
@@ -235,16 +257,12 @@ def indexed_tsv_roundtrip(t):
 def dataset_parquet_roundtrip(t):
     path = scratch(t.spark, "dataset")
     files.write_dataset(t.matrix("train"), t.matrix("test"), path)
-    kept = [*KEYS, "label", "seed", "user_prod_reorder_rate"]
-    train = files.read_dataset(t.spark, path, "train").select(*kept, F.lit("train").alias("split"))
-    test = files.read_dataset(t.spark, path, "test").select(
-        *KEYS,
-        F.lit(None).cast("int").alias("label"),
-        F.lit(None).cast("int").alias("seed"),
-        "user_prod_reorder_rate",
-        F.lit("test").alias("split"),
-    )
-    return train.unionByName(test)
+    kept = [*KEYS, *ID_FEATURES]
+    sides = [
+        files.read_dataset(t.spark, path, split).select(*kept, F.lit(split).alias("split"))
+        for split in ("train", "test")
+    ]
+    return sides[0].unionByName(sides[1])
 
 
 @query
@@ -273,8 +291,7 @@ register("product_features", lambda t: products.product_features(t.accu_history)
 register("user_product_features", lambda t: pairs.user_product_features(t.accu_history))
 register("user_product_last", lambda t: history.user_product_last(t.accu_history))
 register("target_order_features", lambda t: targets.target_order_features(
-    t.all_candidates, t.accu_orders, t.accu_history).join(
-        t.orders.select("order_id"), "order_id", "left_semi"))
+    t.all_candidates, t.accu_orders, t.accu_history))
 
 
 # Time-of-week features.

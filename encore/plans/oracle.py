@@ -427,7 +427,7 @@ def _reorders(name: str) -> str:
 
 
 def _bodies() -> dict[str, str]:
-    from encore.config import HOLDOUT_DROPPED, KEYS
+    from encore.config import HOLDOUT_DROPPED, ID_FEATURES, KEYS
     from encore.plans.catalog import SCALED
 
     dropped = ", ".join(HOLDOUT_DROPPED)
@@ -436,7 +436,7 @@ def _bodies() -> dict[str, str]:
         f"CASE WHEN {c} IS NOT NULL THEN 0.0 END), 4) AS {c}"
         for c in SCALED
     )
-    keys = ", ".join(KEYS)
+    keys, ids = ", ".join(KEYS), ", ".join(ID_FEATURES)
     submission = """
         SELECT order_id, coalesce(string_agg(CAST(product_id AS VARCHAR), ' '
                    ORDER BY product_id) FILTER (WHERE pred = 1), 'None') AS products
@@ -457,8 +457,8 @@ def _bodies() -> dict[str, str]:
         "test_candidates_tsv_roundtrip": f"SELECT {keys} FROM cand WHERE eval_set = 'test'",
         "indexed_tsv_roundtrip": scored,
         "dataset_parquet_roundtrip": f"""
-            SELECT {keys}, label, seed, user_prod_reorder_rate, 'train' AS split FROM train_matrix
-            UNION ALL SELECT {keys}, NULL, NULL, user_prod_reorder_rate, 'test' FROM test_matrix""",
+            SELECT {keys}, {ids}, 'train' AS split FROM train_matrix
+            UNION ALL SELECT {keys}, {ids}, 'test' FROM test_matrix""",
         "submission_csv_roundtrip": submission.format(source="test_scored"),
         "user_order_products": "SELECT order_id, user_id, product_id FROM h",
         "user_products": "SELECT DISTINCT user_id, product_id FROM h",

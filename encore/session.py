@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Run-time settings the plans count on. Skewed joins are split even where the split costs
 # an extra exchange, because one key may hold a large part of all rows.
+# The JVM does not compile methods over 8000 bytes: the wide projections of the matrix run
+# faster as separate expressions than as one large generated method.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 CHECKPOINT_DIR = "spark.checkpoint.dir"

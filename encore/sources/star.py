@@ -6,6 +6,8 @@ the one to predict. All of it is joins, aggregates and windows over bounded grou
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,8 +19,20 @@ TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 MIN_ORDERS = 3
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+@dataclass(frozen=True)
+class Star:
+    """The raw tables; each is opened once, however many operators read it."""
+
+    orders: DataFrame
+    lineitem: DataFrame
+    part: DataFrame
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Star:
+        return cls(*[
+            spark.read.parquet(f"{folder}/{name}.parquet")
+            for name in ("orders", "lineitem", "part")
+        ])
 
 
 def _brand() -> Column:
@@ -30,9 +44,8 @@ def _type_index() -> Column:
     return index[F.col("p_type")]
 
 
-def canonical_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part")
-    return part.select(
+def canonical_products(star: Star) -> DataFrame:
+    return star.part.select(
         (_brand() * 10 + _type_index()).cast("long").alias("product_id"),
         F.concat_ws(" ", "p_brand", "p_type").alias("product_name"),
         _brand().alias("aisle_id"),
@@ -40,19 +53,19 @@ def canonical_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _raw_lines(star: Star) -> DataFrame:
     """Order lines with their product; lines of one order and product may still repeat."""
-    part = _table(spark, sf_dir, "part").select(
+    part = star.part.select(
         F.col("p_partkey").alias("l_partkey"),
         (_brand() * 10 + _type_index()).cast("long").alias("product_id"),
     )
     return (
-        _table(spark, sf_dir, "lineitem").join(part, "l_partkey")
+        star.lineitem.join(part, "l_partkey")
         .select(F.col("l_orderkey").alias("order_id"), "product_id", "l_linenumber")
     )
 
 
-def canonical_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def canonical_orders(star: Star) -> DataFrame:
     """Orders that have lines, numbered per user; the last one is ``train`` or ``test``.
 
     Numbers and day gaps come from the user's order *days*: a user has at most one row per
@@ -60,13 +73,12 @@ def canonical_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     day. A user with a large part of all orders is thus spread over as many tasks as days.
     """
     kept = (
-        _table(spark, sf_dir, "orders")
-        .select(
+        star.orders.select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("user_id"),
             F.to_date("o_orderdate").alias("day"),
         )
-        .join(_raw_lines(spark, sf_dir).select("order_id").distinct(), "order_id", "left_semi")
+        .join(_raw_lines(star).select("order_id").distinct(), "order_id", "left_semi")
     )
     by_day = W.partitionBy("user_id").orderBy("day")
     days = (
@@ -103,18 +115,23 @@ def canonical_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def all_purchases(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+def all_purchases(star: Star, orders: DataFrame, cart: bool = False) -> DataFrame:
     """One row per order and product, with the columns of ``orders`` and ``reordered``.
 
-    Joining on order_id first leaves the rows partitioned by it, so that removing duplicate
-    (order, product) rows needs no exchange of its own. ``reordered`` needs the first order
-    of each pair: an aggregate with a map-side part, joined back, not a window over the pair.
+    Duplicate lines go first, while rows are narrow: the aggregate has a map-side part, so an
+    order with very many lines is cut down before it is shuffled. ``reordered`` needs the
+    first order of each pair: again an aggregate, joined back, not a window over the pair.
+    With ``cart`` the lowest line number stays as ``first_line``; without it both branches of
+    that join read the same two columns, so that Spark runs their exchange once.
     """
-    lines = (
-        _raw_lines(spark, sf_dir).join(orders, "order_id")
-        .groupBy(*orders.columns, "product_id")
-        .agg(F.min("l_linenumber").alias("first_line"))
-    )
+    raw = _raw_lines(star)
+    if cart:
+        lines = raw.groupBy("order_id", "product_id").agg(
+            F.min("l_linenumber").alias("first_line")
+        )
+    else:
+        lines = raw.select("order_id", "product_id").distinct()
+    lines = lines.join(orders, "order_id")
     first = lines.groupBy("user_id", "product_id").agg(F.min("order_number").alias("_first"))
     return (
         lines.join(first, ["user_id", "product_id"])
@@ -125,13 +142,13 @@ def all_purchases(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFr
 
 def prior(purchases: DataFrame) -> DataFrame:
     """History rows (see ``purchase_history``) among all purchases."""
-    return purchases.filter(F.col("eval_set") == "prior").drop("eval_set", "first_line")
+    return purchases.filter(F.col("eval_set") == "prior").drop("eval_set")
 
 
-def history(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+def history(star: Star, orders: DataFrame) -> DataFrame:
     """Purchases of prior orders only; lines of other orders are not read into the joins."""
     wanted = orders.filter(F.col("eval_set") == "prior")
-    return prior(all_purchases(spark, sf_dir, wanted))
+    return prior(all_purchases(star, wanted))
 
 
 def order_products(purchases: DataFrame, eval_set: str) -> DataFrame:
