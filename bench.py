@@ -26,6 +26,7 @@ HEADLINE = [
     "legacy_matrix", "user_affinity", "roc_auc", "threshold_sweep", "best_threshold_exact",
     "ensemble_vote", "submission",
 ]
+STORED = ("orders", "accu_orders", "purchases", "accu_history", "products")
 
 
 def session(cpus: str) -> SparkSession:
@@ -45,7 +46,7 @@ def session(cpus: str) -> SparkSession:
 def canonical(spark: SparkSession, sf_dir: str) -> Retail:
     """Store the canonical tables; everything else derives from them."""
     tables = Retail(spark, sf_dir, store=True)
-    for name in ("orders", "accu_orders", "purchases", "accu_history"):
+    for name in STORED:
         getattr(tables, name)
     return tables
 
@@ -53,7 +54,7 @@ def canonical(spark: SparkSession, sf_dir: str) -> Retail:
 def fresh(tables: Retail) -> Retail:
     """The stored tables without anything derived from them."""
     copy = object.__new__(Retail)
-    kept = ("spark", "store", "star", "orders", "accu_orders", "purchases", "accu_history")
+    kept = ("spark", "store", "star", *STORED)
     copy.__dict__.update({name: tables.__dict__[name] for name in kept})
     return copy
 

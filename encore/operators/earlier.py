@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from encore.config import KEYS
 from encore.functions.columns import repeat_ratio, safe_div
+from encore.session import materialise
 
 DAYS = 7
 HOURS = 24
 
 
-def product_reorder_stats(history: DataFrame) -> DataFrame:
-    """Purchases and reorders of each product.
-
-    The share of second purchases comes from pairs (users with two or more purchases per
-    user), which needs no numbering of the purchases.
-    """
-    pairs = history.groupBy("user_id", "product_id").agg(
+def pair_counts(history: DataFrame) -> DataFrame:
+    """The pair grain that product and pair statistics of this set roll up from."""
+    again = F.col("reordered") == 1
+    return history.groupBy("user_id", "product_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("reordered").alias("re"),
+        F.count_if(again).alias("again"),
         F.count_if(F.col("reordered") == 0).alias("new"),
+        F.sum(F.when(again, F.col("days_since_prior_order"))).alias("gap_days"),
+        F.count(F.when(again, F.col("days_since_prior_order"))).alias("gaps"),
+        F.min("order_number").alias("first"),
+        F.max("order_number").alias("last"),
     )
+
+
+def order_counts(history: DataFrame) -> DataFrame:
+    """The order grain that basket sizes and time shares roll up from."""
+    return history.groupBy(
+        "user_id", "order_id", "order_number", "order_dow", "order_hour_of_day"
+    ).agg(F.count(F.lit(1)).alias("lines"), F.sum("reordered").alias("again"))
+
+
+def product_reorder_stats(history: DataFrame) -> DataFrame:
+    """Purchases and reorders of each product."""
+    return _reorder_stats(pair_counts(history))
+
+
+def _reorder_stats(pairs: DataFrame) -> DataFrame:
+    """The share of second purchases is that of pairs with two or more: no numbering needed."""
     return pairs.groupBy("product_id").agg(
         safe_div(F.count_if(F.col("n") >= 2), F.count(F.lit(1)))
         .alias("prod_norder_second_order_rate"),
         safe_div(F.sum("n"), F.sum("new")).alias("prod_norder_reorder_rate"),
         F.sum("n").alias("prod_norder"),
-        F.sum("re").alias("prod_nreorder"),
+        F.sum("again").alias("prod_nreorder"),
     )
 
 
@@ -42,11 +60,14 @@ def product_reorder_rate(history: DataFrame) -> DataFrame:
 
 def product_user_reorder(history: DataFrame) -> DataFrame:
     """Users and reordering users; products that nobody reordered have no row."""
-    pairs = history.groupBy("user_id", "product_id").agg(F.max("reordered").alias("re"))
+    return _user_reorder(pair_counts(history))
+
+
+def _user_reorder(pairs: DataFrame) -> DataFrame:
     return (
         pairs.groupBy("product_id").agg(
             F.count(F.lit(1)).alias("prod_nuser"),
-            F.count_if(F.col("re") == 1).alias("prod_nuser_reorder"),
+            F.count_if(F.col("again") > 0).alias("prod_nuser_reorder"),
         )
         .filter(F.col("prod_nuser_reorder") > 0)
         .withColumn(
@@ -57,9 +78,12 @@ def product_user_reorder(history: DataFrame) -> DataFrame:
 
 def product_reorder_gap(history: DataFrame) -> DataFrame:
     """Mean days_since_prior_order of reordered lines."""
-    return (
-        history.filter(F.col("reordered") == 1).groupBy("product_id")
-        .agg(F.avg("days_since_prior_order").alias("prod_days_interval_avg"))
+    return _reorder_gap(pair_counts(history))
+
+
+def _reorder_gap(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(F.col("again") > 0).groupBy("product_id").agg(
+        safe_div(F.sum("gap_days"), F.sum("gaps")).alias("prod_days_interval_avg")
     )
 
 
@@ -114,11 +138,10 @@ def product_hour_smoothed(history: DataFrame) -> DataFrame:
 
 def user_product_order_stats(history: DataFrame) -> DataFrame:
     """Purchase rates of a pair over all, recent and later orders of the user."""
-    pairs = history.groupBy("user_id", "product_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("order_number").alias("first"),
-        F.max("order_number").alias("last"),
-    )
+    return _order_stats(pair_counts(history))
+
+
+def _order_stats(pairs: DataFrame) -> DataFrame:
     users = pairs.groupBy("user_id").agg(F.max("last").alias("orders"))
     c = F.col
     return pairs.join(users, "user_id").select(
@@ -135,24 +158,24 @@ def user_product_order_stats(history: DataFrame) -> DataFrame:
 def user_basket_stats(history: DataFrame) -> DataFrame:
     """Pooled reorder share without first orders, and basket sizes.
 
-    Distinct products and distinct orders are counted at their own grains and joined, which
-    spares the row expansion of two distinct counts in one aggregate. Users whose only order
-    is their first have no reorder share and no row.
+    Users whose only order is their first have no reorder share and no row.
+    """
+    return _basket_stats(order_counts(history), pair_counts(history))
+
+
+def _basket_stats(per_order: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distinct orders and distinct products are rows of their own grains.
+
+    That spares the row expansion of two distinct counts in one aggregate.
     """
-    per_order = history.groupBy("user_id", "order_id", "order_number").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("reordered").alias("re")
-    )
     later = F.col("order_number") != 1
     users = per_order.groupBy("user_id").agg(
-        safe_div(F.sum(F.when(later, F.col("re"))), F.sum(F.when(later, F.col("lines"))))
+        safe_div(F.sum(F.when(later, F.col("again"))), F.sum(F.when(later, F.col("lines"))))
         .alias("user_reorder_ratio"),
         F.sum("lines").alias("user_total_items"),
         safe_div(F.sum("lines"), F.count(F.lit(1))).alias("user_avg_items"),
     )
-    distinct = (
-        history.select("user_id", "product_id").distinct()
-        .groupBy("user_id").agg(F.count(F.lit(1)).alias("user_distinct_items"))
-    )
+    distinct = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("user_distinct_items"))
     return users.filter(F.col("user_reorder_ratio").isNotNull()).join(distinct, "user_id").select(
         "user_id", "user_reorder_ratio", "user_distinct_items", "user_total_items",
         "user_avg_items",
@@ -167,9 +190,8 @@ def user_interval_avg(orders: DataFrame) -> DataFrame:
     )
 
 
-def _user_slot_share(history: DataFrame, slot: str, name: str) -> DataFrame:
-    orders = history.select("user_id", "order_id", slot).distinct()
-    cells = orders.groupBy("user_id", slot).agg(F.count(F.lit(1)).alias("_n"))
+def _user_slot_share(per_order: DataFrame, slot: str, name: str) -> DataFrame:
+    cells = per_order.groupBy("user_id", slot).agg(F.count(F.lit(1)).alias("_n"))
     # At most 7 or 24 cells per user.
     whole = F.sum("_n").over(W.partitionBy("user_id"))
     return cells.select("user_id", slot, safe_div(F.col("_n"), whole).alias(name))
@@ -177,42 +199,51 @@ def _user_slot_share(history: DataFrame, slot: str, name: str) -> DataFrame:
 
 def user_dow_share(history: DataFrame) -> DataFrame:
     """Share of each day among the user's prior orders."""
-    return _user_slot_share(history, "order_dow", "user_week_prob")
+    return _user_slot_share(order_counts(history), "order_dow", "user_week_prob")
 
 
 def user_hour_share(history: DataFrame) -> DataFrame:
-    return _user_slot_share(history, "order_hour_of_day", "user_hour_prob")
+    return _user_slot_share(order_counts(history), "order_hour_of_day", "user_hour_prob")
 
 
 def legacy_matrix(candidates: DataFrame, orders: DataFrame, history: DataFrame) -> DataFrame:
     """Candidates with the earlier features; shares that are missing stay NULL.
 
     Product blocks join inner, so candidates whose product was never reordered drop out.
+    Pairs and orders are aggregated and stored once; most blocks come from these two.
     """
+    pairs = materialise(pair_counts(history), "pair-counts")
+    per_order = materialise(order_counts(history), "order-counts")
     product = (
-        product_reorder_stats(history)
-        .join(product_reorder_gap(history), "product_id")
-        .join(product_user_reorder(history), "product_id")
+        _reorder_stats(pairs)
+        .join(_reorder_gap(pairs), "product_id")
+        .join(_user_reorder(pairs), "product_id")
     )
     context = orders.filter(F.col("eval_set") != "prior").select(
         "order_id", "user_id", "order_dow", "order_hour_of_day", "days_since_prior_order"
     )
+    ratio = safe_div(F.col("days_since_prior_order"), F.col("user_interval_avg"))
     user = (
-        user_basket_stats(history)
+        _basket_stats(per_order, pairs)
         .join(user_interval_avg(orders), "user_id")
         .join(context, "user_id")
-        .join(user_dow_share(history), ["user_id", "order_dow"], "left")
-        .join(user_hour_share(history), ["user_id", "order_hour_of_day"], "left")
+        .join(
+            _user_slot_share(per_order, "order_dow", "user_week_prob"),
+            ["user_id", "order_dow"], "left",
+        )
+        .join(
+            _user_slot_share(per_order, "order_hour_of_day", "user_hour_prob"),
+            ["user_id", "order_hour_of_day"], "left",
+        )
+        .withColumn("user_days_since_prior_ratio", ratio)
     )
     labels = [name for name in candidates.columns if name not in KEYS]
-    ratio: Column = safe_div(F.col("days_since_prior_order"), F.col("user_interval_avg"))
     return (
         candidates.join(user, ["order_id", "user_id"])
-        .join(user_product_order_stats(history), ["user_id", "product_id"])
+        .join(_order_stats(pairs), ["user_id", "product_id"])
         .join(product, "product_id")
         .join(product_dow_smoothed(history), ["product_id", "order_dow"], "left")
         .join(product_hour_smoothed(history), ["product_id", "order_hour_of_day"], "left")
-        .withColumn("user_days_since_prior_ratio", ratio)
         .select(*KEYS, *labels, *LEGACY_FEATURES)
     )
 

@@ -36,7 +36,6 @@ from encore.operators.categories import (
     id_columns,
     product_category_level,
     user_category_level,
-    with_product_detail,
 )
 from encore.operators.history import order_interval_accu, purchase_history
 from encore.operators.pairs import pair_aggregates, user_product_columns, with_gaps
@@ -57,14 +56,20 @@ from encore.session import materialise
 def single_targets(orders: DataFrame) -> DataFrame:
     """Target orders, one per user; a user with two of them is an error in the input."""
     targets = target_orders(orders)
-    rest = [name for name in targets.columns if name != "user_id"]
+    rest = [name for name in targets.columns if name not in ("user_id", "eval_set")]
+    # Fixed-width buffers only, so that this stays a hash aggregate.
     checked = targets.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.first(name).alias(name) for name in rest]
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col("eval_set") == "train").alias("_train"),
+        *[F.first(name).alias(name) for name in rest],
     )
     return checked.filter(
         F.when(F.col("_n") == 1, F.lit(True))
         .otherwise(F.raise_error(F.lit("more than one target order of a user")))
-    ).drop("_n")
+    ).select(
+        "user_id", *rest,
+        F.when(F.col("_train") == 1, "train").otherwise("test").alias("eval_set"),
+    )
 
 
 def toward_target(orders: DataFrame, targets: DataFrame) -> DataFrame:
@@ -119,7 +124,6 @@ class FeatureTables:
     pairs: DataFrame
     cube: DataFrame
     product_side: DataFrame
-    products: DataFrame
     targets: DataFrame
 
 
@@ -135,7 +139,10 @@ def feature_tables(
     ``history`` holds the prior purchases of all users, with ``interval_accu`` and the
     columns of ``toward_target``. It is read three times, so it should be a stored table.
     """
-    pairs = materialise(matrix_pairs(history, targets, truth_lines), "pairs")
+    detail = products.select("product_id", "aisle_id", "department_id")
+    pairs = materialise(
+        matrix_pairs(history, targets, truth_lines).join(detail, "product_id", "left"), "pairs"
+    )
     cube = materialise(time_cube(history), "cube")
     per_product = product_level(pairs)
     categories = product_category_level(
@@ -151,7 +158,7 @@ def feature_tables(
         )
     )
     product_side = materialise(product_side, "products")
-    return FeatureTables(history, pairs, cube, product_side, products, targets)
+    return FeatureTables(history, pairs, cube, product_side, targets)
 
 
 def matrix_of(
@@ -165,7 +172,7 @@ def matrix_of(
     ``train`` comes with ``label`` and ``seed`` if the tables were built with truth.
     """
     targets = tables.targets.filter(F.col("eval_set") == eval_set).drop("eval_set")
-    pairs = with_product_detail(tables.pairs, tables.products)
+    pairs = tables.pairs
     users = user_level(
         pairs,
         order_grain(tables.history),

@@ -113,7 +113,7 @@ class Retail:
 
     @cached_property
     def products(self) -> DataFrame:
-        return star.canonical_products(self.star)
+        return self._kept(star.canonical_products(self.star), "products")
 
     @cached_property
     def history(self) -> DataFrame:

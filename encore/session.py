@@ -9,14 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Run-time settings the plans count on. Skewed joins are split even where the split costs
 # an extra exchange, because one key may hold a large part of all rows.
-# The JVM does not compile methods over 8000 bytes: the wide projections of the matrix run
-# faster as separate expressions than as one large generated method.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -48,13 +45,15 @@ def use_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(scratch(spark, "checkpoints"))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write a frame with several consumers once, and read it back column by column.
 
     Each consumer needs other columns, so Spark would not share the exchange below and would
     run the joins again for each. The table is also a lineage cut: a lost executor costs
-    re-reads, not re-joins.
+    re-reads, not re-joins. ``by`` names a column of few values that consumers filter on; rows
+    are then stored by it and the other values are not read.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
