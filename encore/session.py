@@ -29,10 +29,12 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) is a temporary folder taken, once per session.
+    Only where that is unset on a single machine is a temporary folder taken, once per session.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="encore-")
         spark.conf.set(CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/encore/{name}-{uuid.uuid4().hex}"
