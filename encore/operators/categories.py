@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from encore.config import ID_FEATURES, KEYS, FeatureParams
 from encore.functions.columns import count_or_zero, safe_div, smoothed
+from encore.session import materialise
 
 
 def with_product_detail(rows: DataFrame, products: DataFrame) -> DataFrame:
@@ -15,6 +16,15 @@ def with_product_detail(rows: DataFrame, products: DataFrame) -> DataFrame:
     return rows.join(products.select("product_id", "aisle_id", "department_id"), "product_id")
 
 
+def reordered_pairs(history: DataFrame, products: DataFrame) -> DataFrame:
+    """Reorders per user and product, with the product's categories; stored for several readers."""
+    pairs = (
+        history.filter(F.col("reordered") == 1)
+        .groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("rcnt"))
+    )
+    return materialise(with_product_detail(pairs, products), "reordered-pairs")
+
+
 def category_reorders(history: DataFrame, products: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Reordered lines per key that may include aisle or department.
 
@@ -94,11 +104,7 @@ def id_features(
     params: FeatureParams = FeatureParams(),
 ) -> DataFrame:
     """One row per candidate."""
-    reorders = with_product_detail(
-        history.filter(F.col("reordered") == 1)
-        .groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("rcnt")),
-        products,
-    )
+    reorders = reordered_pairs(history, products)
     by_aisle = reorders.groupBy("user_id", "aisle_id").agg(F.sum("rcnt").alias("user_aisle_rcnt"))
     by_department = reorders.groupBy("user_id", "department_id").agg(
         F.sum("rcnt").alias("user_dep_rcnt")
@@ -121,14 +127,10 @@ def user_affinity(history: DataFrame, products: DataFrame) -> DataFrame:
     The two sides meet on user_id alone, so a user's aisles cross with the user's departments,
     which is what is asked for; the size per user is bounded by aisles x departments.
     """
-    reorders = with_product_detail(
-        history.filter(F.col("reordered") == 1)
-        .groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("_n")),
-        products,
-    )
-    total = reorders.groupBy("user_id").agg(F.sum("_n").alias("_total"))
-    aisles = reorders.groupBy("user_id", "aisle_id").agg(F.sum("_n").alias("_aisle"))
-    departments = reorders.groupBy("user_id", "department_id").agg(F.sum("_n").alias("_dep"))
+    reorders = reordered_pairs(history, products)
+    total = reorders.groupBy("user_id").agg(F.sum("rcnt").alias("_total"))
+    aisles = reorders.groupBy("user_id", "aisle_id").agg(F.sum("rcnt").alias("_aisle"))
+    departments = reorders.groupBy("user_id", "department_id").agg(F.sum("rcnt").alias("_dep"))
     return (
         total.join(aisles, "user_id").join(departments, "user_id")
         .select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from encore.config import USER_PRODUCT_FEATURES, FeatureParams
 from encore.functions.columns import flag, safe_div
+from encore.session import materialise
 
 
 def pair_aggregates() -> list[Column]:
@@ -70,8 +71,8 @@ def user_product_columns(p: FeatureParams) -> dict[str, Column]:
 
 
 def user_product_features(history: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
-    """One row per pair a user has bought."""
-    pairs = pair_grain(history)
+    """One row per pair a user has bought; pairs are stored, as three branches read them."""
+    pairs = materialise(pair_grain(history), "pairs")
     # max(order_number) is the latest prior order; distinct orders come from the order ids.
     users = pairs.groupBy("user_id").agg(
         F.avg("n").alias("user_avg_prod_norder"),

@@ -9,6 +9,7 @@ from encore.config import KEYS, TARGET_FEATURES, FeatureParams
 from encore.functions.columns import safe_div
 from encore.operators.pairs import pair_grain
 from encore.operators.users import order_grain, user_level
+from encore.session import materialise
 
 
 def target_orders(orders: DataFrame, eval_set: str | None = None) -> DataFrame:
@@ -55,7 +56,7 @@ def target_order_features(
     params: FeatureParams = FeatureParams(),
 ) -> DataFrame:
     """One row per candidate; ``orders`` and ``history`` come with ``interval_accu``."""
-    pairs = pair_grain(history)
+    pairs = materialise(pair_grain(history), "pairs")
     users = user_level(pairs, order_grain(history)).select("user_id", "user_interval")
     return (
         candidates.select(*KEYS)
