@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from encore.llm import token_counts
+from encore.llm import html_text, license_scan, packing, simhash, token_counts
 from encore.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +21,30 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(
+        table(spark, sf_dir, "documents"), size=packing.token_estimate(F.col("text")),
+        cluster=packing.copy_cluster(F.col("text")), capacity=2048,
+    )
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
-    function.__name__: function for function in (op2_token_counts,)
+    function.__name__: function
+    for function in (
+        op2_token_counts, op4_simhash_near_dedup, op6_license_scan, op7_best_fit_packing,
+        op8_html_extraction,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
