@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from encore.session import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words are runs of digits, ASCII letters and everything beyond ASCII; all other bytes separate.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,3 +44,8 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples."""
     for batch in batches:
         yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+
+
+def compact(df: DataFrame, name: str) -> DataFrame:
+    """Store a frame that may be small or uneven: Spark first evens out its partitions by size."""
+    return materialise(df.hint("rebalance"), name)

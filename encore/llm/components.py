@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from encore.llm.common import compact
 from encore.session import materialise
 
 
@@ -21,8 +22,8 @@ def components(links: DataFrame) -> DataFrame:
     either direction are all right; links with a null end are ignored. No links give no rows.
     """
     links = links.select("a", "b").filter("a <> b")
-    both = materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))),
-                       "links")
+    both = compact(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))),
+                   "links")
     # The first round needs no join: the smallest neighbour.
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(
         F.least(F.col("node"), F.min("b")).alias("label")), "labels")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import LOWER_BYTES
+from encore.llm.common import LOWER_BYTES, compact
 from encore.llm.components import components
 from encore.session import materialise
 
@@ -180,7 +180,7 @@ def near_duplicates(
     """
     prints = materialise(fingerprints(docs, id_column, text_column), "prints")
     classes = materialise(prints.groupBy("print").agg(F.min("id").alias("least")), "print-classes")
-    links = materialise(near_links(classes, threshold), "print-links")
+    links = compact(near_links(classes, threshold), "print-links")
     least = classes.join(
         components(links).withColumnRenamed("node", "print"), "print", "left"
     ).withColumn("component", F.coalesce("component", "print"))
