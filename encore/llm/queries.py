@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm import decontaminate, html_text, license_scan, packing, simhash, token_counts
+from encore.llm import decontaminate, html_text, license_scan, packing, repeats, simhash, token_counts
 from encore.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     function.__name__: function
     for function in (
-        op2_token_counts, op3_benchmark_decontamination, op4_simhash_near_dedup, op6_license_scan, op7_best_fit_packing,
+        op2_token_counts, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_suffix_array_dedup, op6_license_scan, op7_best_fit_packing,
         op8_html_extraction,
     )
 }
