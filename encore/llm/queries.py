@@ -52,8 +52,8 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     function.__name__: function
     for function in (
-        op2_token_counts, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_suffix_array_dedup, op6_license_scan, op7_best_fit_packing,
-        op8_html_extraction,
+        op2_token_counts, op3_benchmark_decontamination, op4_simhash_near_dedup,
+        op5_suffix_array_dedup, op6_license_scan, op7_best_fit_packing, op8_html_extraction,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
