@@ -18,11 +18,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import WORD_PATTERN, lower_ascii
+from encore.llm.common import LOWER, UPPER, WORD_BYTES
 from encore.session import materialise
 
 WINDOW, GRAM = 13, 5
 PLACE_BITS = 24  # of a kept value; the other 40 bits are the hash
+SEPARATORS = "".join(chr(b) for b in range(128) if WORD_BYTES[b] == 32)
 SEGMENT = 1 << 20  # words of a text that are winnowed together
 
 
@@ -32,8 +33,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(
-        lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
+    """Separators become blanks and A-Z lower case in one pass, so a plain split does the rest."""
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def upto(last: Column) -> Column:
@@ -60,15 +62,18 @@ def winnowed(words: Column, window: int, gram: int) -> Column:
     """
     runs = window - gram + 1
 
+    def value(i: Column) -> Column:
+        hashed = F.xxhash64(*[words[i + k] for k in range(gram)])
+        return F.shiftleft(F.shiftright(hashed, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))
+
     def kept(values: Column) -> Column:
-        return F.array_distinct(F.transform(
-            upto(F.size(values) - runs), lambda i: F.array_min(F.slice(values, i + 1, runs))))
+        def least(i: Column) -> Column:
+            near = [values[i + k] for k in range(runs)]
+            return F.least(*near) if runs > 1 else near[0]
+
+        return F.array_distinct(F.transform(upto(F.size(values) - runs), least))
 
-    valued = F.transform(
-        upto(F.size(words) - gram),
-        lambda i: F.shiftleft(F.shiftright(F.xxhash64(F.slice(words, i + 1, gram)), PLACE_BITS),
-                              PLACE_BITS).bitwiseOR(i.cast("long")))
-    return let(valued, kept)
+    return let(F.transform(upto(F.size(words) - gram), value), kept)
 
 
 def fingerprints(words: Column, window: int, gram: int) -> Column:
@@ -78,7 +83,8 @@ def fingerprints(words: Column, window: int, gram: int) -> Column:
         upto(F.ceil((F.size(words) - window + 1) / step).cast("int") - 1),
         lambda s: F.struct(
             (s * step).alias("first"),
-            winnowed(F.slice(words, s * step + 1, SEGMENT), window, gram).alias("values")))
+            let(F.slice(words, s * step + 1, SEGMENT), lambda w: winnowed(w, window, gram))
+            .alias("values")))
 
 
 def exploded(rows: DataFrame, key: str) -> DataFrame:

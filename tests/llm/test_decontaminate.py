@@ -47,7 +47,7 @@ def case(seed, short):
             a = draw.randrange(len(item))
             at = draw.randint(0, len(words))
             words[at:at] = item[a:a + draw.choice([8, 12, 13, 14, 60])]
-        docs.append((i, draw.choice([" ", ", ", "\n"]).join(words)))
+        docs.append((i, draw.choice([" ", ", ", "\n", "\x00", "\x7f_"]).join(words)))
     docs += [(900, None), (901, ""), (902, " ,;"), (903, "the " * 300), (904, " ".join(passage)),
              (905, " ".join(passage)), (None, " ".join(passage)), (904, " ".join(passage))]
     items = [(i, " ".join(w)) for i, w in items] + [
