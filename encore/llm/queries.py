@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm import decontaminate, html_text, license_scan, packing, repeats, simhash, token_counts
+from encore.llm import (
+    decontaminate,
+    embedding_dedup,
+    html_text,
+    license_scan,
+    packing,
+    repeats,
+    simhash,
+    token_counts,
+)
 from encore.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,11 +58,16 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     function.__name__: function
     for function in (
         op2_token_counts, op3_benchmark_decontamination, op4_simhash_near_dedup,
         op5_suffix_array_dedup, op6_license_scan, op7_best_fit_packing, op8_html_extraction,
+        op9_embedding_near_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
