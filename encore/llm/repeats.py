@@ -32,7 +32,7 @@ from encore.llm.suffix_array import common_prefixes, suffix_array
 from encore.session import materialise
 
 LENGTH, GRAM = 100, 32
-BUCKET_BYTES = 64 << 20  # of text whose minimizers meet in a bucket
+BUCKET_BYTES = 16 << 20  # of text whose minimizers meet in a bucket
 SHARD_RUNS = 8192  # of stretches, in a shard; also those of a minimizer before it is split
 FLUSH_RUNS = 1 << 20  # that a task gathers before it sends them on
 SEPARATOR = b"\xff"  # in no UTF-8 text
@@ -383,7 +383,9 @@ def without_repeats(
             F.col(id_column).alias("id"), source.doc.alias("doc"), source.content.alias("content"),
             F.sha2(source.text.cast("binary"), 256).alias("digest"),
             F.octet_length(source.text).cast("long").alias("n_bytes")), "repeat-documents")
-    firsts = base.groupBy("digest").agg(F.min("doc").alias("first"))
+    # Stored, so that the join with it can be split where a text has very many copies.
+    firsts = materialise(
+        base.groupBy("digest").agg(F.min("doc").alias("first")), "repeat-firsts")
     n_bytes = base.agg(F.sum("n_bytes")).first()[0] or 0
     spans = repeated_spans(source, n_bytes, length, gram)
     by_doc = spans.groupBy("doc", "content").agg(
