@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,3 +49,54 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def compact(df: DataFrame, name: str) -> DataFrame:
     """Store a frame that may be small or uneven: Spark first evens out its partitions by size."""
     return materialise(df.hint("rebalance"), name)
+
+
+SAMPLE_ROWS = 20_000  # labelled rows that a classifier is fitted on, at most
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int,
+    id_column: str = "doc_id", text_column: str = "text", limit: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """(label, text) of up to ``limit`` labelled documents outside the held-out fold.
+
+    The rows with the least hashes of their ids are taken, so the sample is fair and the same each
+    time. Null ids and labels are left out; of repeated labels of a document the largest counts.
+    """
+    key = F.col(id_column)
+    usable = labels.filter(
+        key.isNotNull() & F.col(label).isNotNull() & (crc_fold(key, folds) != held_out)
+    ).groupBy(key.alias("labelled_id")).agg(F.max(label).cast("int").alias("label"))
+    sample = usable.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(limit)
+    texts = docs.select(key.alias("labelled_id"), F.col(text_column).alias("text"))
+    return texts.join(F.broadcast(sample), "labelled_id").select("label", "text")  # few, short rows
+
+
+def with_scores(
+    docs: DataFrame, scores: Callable[[Iterator[list]], Iterator], folds: int, held_out: int,
+    threshold: float, id_column: str, text_column: str,
+) -> DataFrame:
+    """id, ``held_out``, ``score``, ``predicted`` of each document.
+
+    ``scores`` maps an iterator over lists of texts (null for none) to lists of scores.
+    """
+
+    def apply(batches):
+        ids = []
+
+        def texts():
+            for batch in batches:
+                ids.append(batch.column(0))
+                yield batch.column(1).to_pylist()
+
+        for values in scores(texts()):
+            yield pa.RecordBatch.from_arrays(
+                [ids.pop(0), pa.array(values, pa.float64())], names=["id", "score"])
+
+    read = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    kind = read.schema["id"].dataType.simpleString()
+    scored = read.mapInArrow(apply, f"id {kind}, score double")
+    return scored.select(
+        F.col("id").alias(id_column),
+        F.coalesce(crc_fold(F.col("id"), folds) == held_out, F.lit(False)).alias("held_out"),
+        "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -14,9 +14,11 @@ from encore.llm import (
     html_text,
     license_scan,
     packing,
+    quality,
     repeats,
     simhash,
     token_counts,
+    toxicity,
 )
 from encore.llm.common import table
 
@@ -24,6 +26,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)
@@ -62,12 +68,17 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     function.__name__: function
     for function in (
-        op2_token_counts, op3_benchmark_decontamination, op4_simhash_near_dedup,
-        op5_suffix_array_dedup, op6_license_scan, op7_best_fit_packing, op8_html_extraction,
-        op9_embedding_near_dedup,
+        op1_toxicity, op2_token_counts, op3_benchmark_decontamination,
+        op4_simhash_near_dedup, op5_suffix_array_dedup, op6_license_scan,
+        op7_best_fit_packing, op8_html_extraction,
+        op9_embedding_near_dedup, op10_quality_classifier,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
