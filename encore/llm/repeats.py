@@ -439,11 +439,12 @@ def repeat_report(
 
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id",
-    text_column: str = "text",
+    text_column: str = "text", drop_emptied: bool = False,
 ) -> DataFrame:
     """The documents with their repeated passages cut out, and all their columns.
 
-    A character of which only a part is cut goes as a whole. Rows and null texts stay.
+    A character of which only a part is cut goes as a whole. Rows and null texts stay; with
+    ``drop_emptied`` documents that have lost all their text go.
     """
     _, firsts, parts = without_repeats(docs, length, gram, id_column, text_column, texts=True)
     source = Keyed(docs, id_column, text_column)
@@ -454,6 +455,9 @@ def remove_repeats(
         F.octet_length(source.text).alias("n_bytes"))
     copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= length)
     text = F.when(copy, "").otherwise(F.coalesce("kept", f"row.{text_column}"))
-    return marked.join(firsts, "digest").join(
-        parts.select("doc", "content", "kept"), ["doc", "content"], "left").select(
+    found = marked.join(firsts, "digest").join(
+        parts.select("doc", "content", "kept"), ["doc", "content"], "left")
+    if drop_emptied:
+        found = found.filter((F.col("n_bytes") == 0) | (F.coalesce(text, F.lit("")) != ""))
+    return found.select(
         *[(text if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

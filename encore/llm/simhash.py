@@ -191,3 +191,31 @@ def near_duplicates(
         F.col("id").alias(id_column),
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id",
     )
+
+
+def keep_first(
+    docs: DataFrame, threshold: int = 2, id_column: str = "doc_id", text_column: str = "text",
+) -> DataFrame:
+    """One row of each component, that of the smallest id, with all its columns.
+
+    Rows without an id stay only where their component has no id at all; of rows that share the
+    smallest id, and of those without one, the first by a hash of the text stays.
+    """
+    # The hash tells rows of one id apart; rows without an id come last.
+    row_hash = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+    keyed = docs.select(
+        F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
+                 row_hash.alias("hash")).alias("key"), F.col(text_column).alias("text"))
+    found = near_duplicates(keyed, threshold, "key", "text")
+    firsts = compact(
+        found.groupBy("component_id").agg(
+            F.count_if(F.col("key") == F.col("component_id")).alias("first_rows")).select(
+            F.col("component_id.id").alias("first_id"), F.col("component_id.hash").alias("first_hash"),
+            "first_rows"), "print-firsts")
+    same = F.col(id_column).eqNullSafe(F.col("first_id")) & (row_hash == F.col("first_hash"))
+    single = docs.join(firsts.filter("first_rows = 1"), same, "left_semi")
+    repeated = firsts.filter("first_rows > 1")
+    if repeated.isEmpty():  # then no row's text is shuffled
+        return single
+    return single.unionByName(
+        docs.join(repeated, same, "left_semi").dropDuplicates([id_column, text_column]))
