@@ -21,6 +21,7 @@ from encore.llm import (
     toxicity,
 )
 from encore.llm.common import table
+from encore.llm.oracle import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.json"
@@ -81,4 +82,3 @@ QUERIES: dict[str, Query] = {
         op9_embedding_near_dedup, op10_quality_classifier,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
