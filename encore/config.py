@@ -8,9 +8,9 @@ from dataclasses import dataclass, field
 # within which thresholds are searched.
 FOLDS = 5
 DECISION_THRESHOLD = 0.177
-TUNING_BRACKET = (0.15, 0.20)
 ENSEMBLE_BRACKET = (0.15, 0.25)
 DEBUG_ROWS = 10_000
+REFIT_ROUNDS = 160  # of the model on all labelled rows, once the features are chosen
 
 KEYS = ["order_id", "user_id", "product_id"]
 

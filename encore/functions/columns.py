@@ -27,11 +27,6 @@ def flag(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))
 
 
-def second_order_ratio(occurrence: Column) -> Column:
-    """Aggregate: rows that are a second purchase per rows that are a first one."""
-    return safe_div(F.count_if(occurrence == 1), F.count_if(occurrence == 0))
-
-
 def repeat_ratio(reordered: Column) -> Column:
     """Aggregate: all rows per rows that are not a reorder."""
     return safe_div(F.count(F.lit(1)), F.count_if(reordered == 0))

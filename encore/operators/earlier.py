@@ -92,9 +92,9 @@ def _slot_share(history: DataFrame, slot: str, of_product: str, of_slot: str) ->
     slots = cells.groupBy(slot).agg(F.sum("_n").alias("_slot"))
     whole = F.sum("_n").over(W.partitionBy("product_id"))
     # A product has at most 7 or 24 cells, a slot as many as there are products: the former
-    # is a window, the latter an aggregate whose 7 or 24 rows are broadcast.
+    # is a window, the latter an aggregate of 7 or 24 rows, which Spark broadcasts by its size.
     return (
-        cells.withColumn("_product", whole).join(F.broadcast(slots), slot)
+        cells.withColumn("_product", whole).join(slots, slot)
         .select(
             "product_id",
             slot,
@@ -238,6 +238,8 @@ def legacy_matrix(candidates: DataFrame, orders: DataFrame, history: DataFrame)
         .withColumn("user_days_since_prior_ratio", ratio)
     )
     labels = [name for name in candidates.columns if name not in KEYS]
+    # Stored, so that the joins can be split where one user or product has very many candidates.
+    user, product = materialise(user, "legacy-users"), materialise(product, "legacy-products")
     return (
         candidates.join(user, ["order_id", "user_id"])
         .join(_order_stats(pairs), ["user_id", "product_id"])

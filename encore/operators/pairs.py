@@ -84,8 +84,11 @@ def user_product_features(history: DataFrame, params: FeatureParams = FeaturePar
         .groupBy("user_id").agg(F.count(F.lit(1)).alias("user_norder"))
     )
     products = pairs.groupBy("product_id").agg(F.avg("order_gap").alias("prod_order_gap"))
+    # Stored, so that both joins can be split where one user or product has very many pairs.
+    users = materialise(users.join(norder, "user_id"), "pair-users")
+    products = materialise(products, "pair-products")
     return (
-        pairs.join(users.join(norder, "user_id"), "user_id").join(products, "product_id")
+        pairs.join(users, "user_id").join(products, "product_id")
         .select(
             "user_id",
             "product_id",

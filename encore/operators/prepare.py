@@ -17,7 +17,13 @@ def prepare(matrix: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
 
 
 def kfold(matrix: DataFrame, folds: int = FOLDS) -> Iterator[tuple[int, DataFrame, DataFrame]]:
-    """(fold, train, valid) for each fold; a user is in one fold only."""
+    """(fold, train, valid) for each fold; a user is in one fold only.
+
+    Rows of other folds would never be validated, so they raise an error.
+    """
+    other = matrix.filter(~F.col("seed").between(0, folds - 1) | F.col("seed").isNull())
+    if not other.isEmpty():
+        raise ValueError(f"the matrix has rows outside folds 0 to {folds - 1}")
     for fold in range(folds):
         yield fold, matrix.filter(F.col("seed") != fold), matrix.filter(F.col("seed") == fold)
 
@@ -36,16 +42,14 @@ def debug_sample(matrix: DataFrame, rows: int = DEBUG_ROWS) -> DataFrame:
 
 def holdout(matrix: DataFrame, drop: Sequence[str] = HOLDOUT_DROPPED) -> tuple[DataFrame, DataFrame]:
     """Train on folds 0 and 1, validate on fold 3, without the weakest features."""
-    kept = matrix.drop(*drop)
+    kept = prepare(matrix, drop)
     return kept.filter(F.col("seed") < 2), kept.filter(F.col("seed") == 3)
 
 
 def holdout_labelled(matrix: DataFrame) -> DataFrame:
     """Both sides of the holdout in one frame, told apart by ``split``."""
-    train, valid = holdout(matrix)
-    return train.withColumn("split", F.lit("train")).unionByName(
-        valid.withColumn("split", F.lit("valid"))
-    )
+    split = F.when(F.col("seed") < 2, "train").when(F.col("seed") == 3, "valid")
+    return prepare(matrix, HOLDOUT_DROPPED).withColumn("split", split).filter("split is not null")
 
 
 def refit_rows(train: DataFrame, valid: DataFrame) -> DataFrame:

@@ -142,16 +142,14 @@ def time_features(
         candidates.select(*KEYS)
         .join(reorders, KEYS, "left")
         .join(targets.join(per_order, "order_id", "left"), ["order_id", "user_id"])
-        .join(product_profile(cube), "product_id", "left")
+        .join(materialise(product_profile(cube), "profile"), "product_id", "left")
     )
     rows = with_slot_counts(with_slot_totals(rows, hours, days))
     return rows.select(*KEYS, *[col.alias(name) for name, col in time_columns(params).items()])
 
 
 def with_slot_totals(rows: DataFrame, hours: DataFrame, days: DataFrame) -> DataFrame:
-    """Both tables are broadcast: a day has 24 hours and a week 7 days, at any scale."""
+    """A day has 24 hours and a week 7 days, so Spark broadcasts both tables by their size."""
     return rows.join(
-        F.broadcast(hours.withColumnRenamed("order_hour_of_day", "target_hour")),
-        "target_hour",
-        "left",
-    ).join(F.broadcast(days.withColumnRenamed("order_dow", "target_dow")), "target_dow", "left")
+        hours.withColumnRenamed("order_hour_of_day", "target_hour"), "target_hour", "left"
+    ).join(days.withColumnRenamed("order_dow", "target_dow"), "target_dow", "left")

@@ -41,7 +41,7 @@ CTES = {
                CAST(dayofweek(day) AS INTEGER) AS order_dow,
                CAST(order_id % 24 AS INTEGER) AS order_hour_of_day,
                CAST(date_diff('day', prev, day) AS DOUBLE) AS days_since_prior_order
-        FROM numbered WHERE total >= 3""",
+        FROM numbered""",
     "accu_orders": """
         SELECT *, sum(coalesce(days_since_prior_order, 0)) OVER (
                    PARTITION BY user_id ORDER BY order_number
@@ -427,16 +427,16 @@ def _reorders(name: str) -> str:
 
 
 def _bodies() -> dict[str, str]:
-    from encore.config import HOLDOUT_DROPPED, ID_FEATURES, KEYS
+    from encore.config import ALL_FEATURES, HOLDOUT_DROPPED, KEYS, GbtParams, SearchSpace
     from encore.plans.catalog import SCALED
 
     dropped = ", ".join(HOLDOUT_DROPPED)
     scaled = ", ".join(
         f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), "
-        f"CASE WHEN {c} IS NOT NULL THEN 0.0 END), 4) AS {c}"
+        f"CASE WHEN {c} IS NOT NULL THEN 0.0 END), 9) AS {c}"
         for c in SCALED
     )
-    keys, ids = ", ".join(KEYS), ", ".join(ID_FEATURES)
+    keys = ", ".join(KEYS)
     submission = """
         SELECT order_id, coalesce(string_agg(CAST(product_id AS VARCHAR), ' '
                    ORDER BY product_id) FILTER (WHERE pred = 1), 'None') AS products
@@ -445,6 +445,13 @@ def _bodies() -> dict[str, str]:
     train_candidates = f"SELECT {keys} FROM cand WHERE eval_set = 'train'"
     labelled_folds = "SELECT l.*, s.seed FROM labelled l JOIN folds s ON l.user_id = s.user_id"
     scored = f"SELECT {keys}, label, pred_prob, pred FROM outcome"
+    fold_counts = """
+        SELECT seed, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives
+        FROM {source} GROUP BY seed"""
+    debug_sample = f"SELECT * FROM train_matrix ORDER BY {keys} LIMIT 10000"
+    holdout_rows = f"SELECT {keys}, label, true AS in_range FROM train_matrix WHERE seed = 3"
+    baskets = "SELECT DISTINCT order_id, true AS from_candidates FROM test_matrix"
+    holdout_features = ", ".join(f"('{f}')" for f in ALL_FEATURES if f not in HOLDOUT_DROPPED)
     return {
         "canonical_orders": orders,
         "canonical_order_products": "SELECT * FROM prior_lines",
@@ -456,9 +463,11 @@ def _bodies() -> dict[str, str]:
         "candidates_tsv_roundtrip": labelled_folds,
         "test_candidates_tsv_roundtrip": f"SELECT {keys} FROM cand WHERE eval_set = 'test'",
         "indexed_tsv_roundtrip": scored,
-        "dataset_parquet_roundtrip": f"""
-            SELECT {keys}, {ids}, 'train' AS split FROM train_matrix
-            UNION ALL SELECT {keys}, {ids}, 'test' FROM test_matrix""",
+        "dataset_parquet_roundtrip": """
+            SELECT * REPLACE (CAST(label AS DOUBLE) AS label, CAST(seed AS DOUBLE) AS seed),
+                   'train' AS split
+            FROM train_matrix
+            UNION ALL BY NAME SELECT *, 'test' AS split FROM test_matrix""",
         "submission_csv_roundtrip": submission.format(source="test_scored"),
         "user_order_products": "SELECT order_id, user_id, product_id FROM h",
         "user_products": "SELECT DISTINCT user_id, product_id FROM h",
@@ -538,10 +547,9 @@ def _bodies() -> dict[str, str]:
             SELECT g.* EXCLUDE (eval_set), l.label FROM legacy g JOIN labelled l
                 ON g.order_id = l.order_id AND g.product_id = l.product_id""",
         "legacy_matrix_test": "SELECT * EXCLUDE (eval_set) FROM legacy WHERE eval_set = 'test'",
-        "cv_fold_counts": """
-            SELECT seed, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives
-            FROM labelled l JOIN folds s ON l.user_id = s.user_id GROUP BY seed""",
-        "debug_sample": f"{labelled_folds} ORDER BY order_id, l.user_id, product_id LIMIT 10000",
+        "cv_fold_counts": fold_counts.format(source="train_matrix"),
+        "debug_sample": debug_sample,
+        "debug_fold_counts": fold_counts.format(source=f"({debug_sample})"),
         "holdout_split": f"""
             SELECT * EXCLUDE ({dropped}),
                    CASE WHEN seed < 2 THEN 'train' ELSE 'valid' END AS split
@@ -552,8 +560,12 @@ def _bodies() -> dict[str, str]:
             FROM train_matrix""",
         "standardised_features": f"SELECT {keys}, {scaled} FROM train_matrix WHERE seed < 2",
         "one_hot_aisle": """
-            SELECT aisle_id - 1 AS position, CAST(count(*) AS DOUBLE) AS rows
-            FROM train_matrix WHERE seed < 2 GROUP BY 1""",
+            SELECT 'aisle_id' AS feature, CAST(aisle_id - 1 AS INTEGER) AS position,
+                   CAST(count(*) AS DOUBLE) AS rows
+            FROM train_matrix WHERE seed < 2 GROUP BY ALL
+            UNION ALL SELECT 'user_prod_reordered', CAST(user_prod_reordered AS INTEGER),
+                             CAST(count(*) AS DOUBLE)
+            FROM train_matrix WHERE seed < 2 GROUP BY ALL""",
         "thresholded_predictions": f"SELECT {keys}, pred_prob, pred FROM outcome",
         "scored_rows": scored,
         "per_user_f1": "SELECT user_id, f1 FROM user_metrics",
@@ -599,6 +611,27 @@ def _bodies() -> dict[str, str]:
             source="(SELECT *, CAST(votes > 3 AS INTEGER) AS pred FROM votes)"
         ),
         "submission": submission.format(source="test_scored"),
+        "gbt_scores": holdout_rows,
+        "gbt_scores_without_validation": holdout_rows,
+        "forest_scores": holdout_rows,
+        "feature_importance": f"""
+            SELECT feature, true AS in_range, CAST(1 AS DOUBLE) AS total
+            FROM (VALUES {holdout_features}) AS f(feature), (SELECT DISTINCT 1 FROM train_matrix)""",
+        "gbt_round_losses": f"""
+            SELECT CAST(r AS INTEGER) AS round, side, true AS in_range
+            FROM range(1, {GbtParams().rounds + 1}) AS n(r),
+                 (SELECT DISTINCT CASE WHEN seed < 2 THEN 'train' ELSE 'valid' END AS side
+                  FROM train_matrix WHERE seed < 2 OR seed = 3)""",
+        "gbt_refit_scores": f"SELECT {keys}, true AS in_range FROM test_matrix",
+        "model_roundtrip": """
+            SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM train_matrix
+            WHERE seed = 3""",
+        "parameter_sweep": f"""
+            SELECT CAST(param AS DOUBLE) AS param, true AS f1_in_range, true AS auc_in_range
+            FROM (VALUES {', '.join(f'({v})' for v in SearchSpace().values)}) AS f(param),
+                 (SELECT DISTINCT 1 FROM train_matrix)""",
+        "fixed_threshold_submission": baskets,
+        "vote_submission": baskets,
     }
 
 

@@ -16,7 +16,6 @@ from encore.functions.columns import flag
 
 # Product types in the order of their index.
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-MIN_ORDERS = 3
 
 
 @dataclass(frozen=True)
@@ -41,7 +40,9 @@ def _brand() -> Column:
 
 def _type_index() -> Column:
     index = F.create_map(*[F.lit(x) for pair in zip(TYPES, range(len(TYPES))) for x in pair])
-    return index[F.col("p_type")]
+    unknown = F.raise_error(
+        F.concat(F.lit("unknown part type: "), F.coalesce("p_type", F.lit("null"))))
+    return F.coalesce(index[F.col("p_type")], unknown.cast("int"))
 
 
 def canonical_products(star: Star) -> DataFrame:
@@ -78,7 +79,7 @@ def canonical_orders(star: Star) -> DataFrame:
             F.col("o_custkey").alias("user_id"),
             F.to_date("o_orderdate").alias("day"),
         )
-        .join(_raw_lines(star).select("order_id").distinct(), "order_id", "left_semi")
+        .join(star.lineitem.select(F.col("l_orderkey").alias("order_id")), "order_id", "left_semi")
     )
     by_day = W.partitionBy("user_id").orderBy("day")
     days = (
@@ -92,7 +93,6 @@ def canonical_orders(star: Star) -> DataFrame:
             F.lag("day").over(by_day).alias("_prev_day"),
             F.sum("_n").over(W.partitionBy("user_id")).alias("_orders"),
         )
-        .filter(F.col("_orders") >= MIN_ORDERS)
     )
     in_day = F.row_number().over(W.partitionBy("user_id", "day").orderBy("order_id"))
     numbered = (

@@ -1,11 +1,15 @@
 """Properties of the fitted models; scores are not reproducible in SQL."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from encore.config import ALL_FEATURES, GbtParams, SearchSpace
+from encore.functions.columns import fold_of
 from encore.models import search, trees
 from encore.operators import prepare, scoring
+from encore.operators.thresholds import best_threshold_exact
 from encore.session import materialise
 
 SMALL = GbtParams(rounds=3, depth=3, min_rows=5)
@@ -39,8 +43,12 @@ def test_fit_score_save_load(spark, matrix, tmp_path):
     shares = trees.importances(model, FEATURES, spark).collect()
     assert [r["feature"] for r in shares] == FEATURES
     assert sum(r["importance"] for r in shares) == pytest.approx(1)
-    losses = [r["loss"] for r in trees.round_losses(model, train, FEATURES).collect()]
-    assert losses == sorted(losses, reverse=True)
+    sides = {"train": train, "valid": valid}
+    losses = trees.round_losses(model, sides, FEATURES).collect()
+    assert [(r["round"], r["side"]) for r in losses] == [
+        (i, side) for side in sides for i in range(1, len(losses) // 2 + 1)]
+    on_train = [r["loss"] for r in losses if r["side"] == "train"]
+    assert on_train == sorted(on_train, reverse=True)
 
 
 def test_unseen_category_is_scored(matrix):
@@ -58,7 +66,13 @@ def test_forest_beats_chance_on_its_rows(matrix):
     assert scoring.roc_auc(scored).first()["auc"] > 0.6
 
 
+def test_folds_must_fit_the_matrix(matrix):
+    with pytest.raises(ValueError, match="outside folds"):
+        list(prepare.kfold(matrix, folds=2))
+
+
 def test_sweep_and_ablation_reports(matrix):
+    matrix = matrix.withColumn("seed", fold_of(F.col("user_id"), 2))
     swept = search.tune(matrix, SearchSpace("step", (0.1, 0.3)), SMALL, FEATURES, folds=2)
     assert [r["param"] for r in swept.collect()] == [0.1, 0.3]
     assert swept.filter(F.col("f1").between(0, 1) & F.col("auc").between(0, 1)).count() == 2
@@ -70,5 +84,23 @@ def test_every_test_order_gets_a_basket(retail, matrix):
     test = retail.matrix("test")
     orders = test.select("order_id").distinct().count()
     assert search.single_submission(matrix, test, SMALL, FEATURES).count() == orders
-    voted = search.vote_submission(matrix, test, SMALL, FEATURES, folds=2)
-    assert voted.count() == orders
+
+    voted = {r["order_id"]: r["products"] for r in search.vote_submission(
+        matrix, test, SMALL, FEATURES).collect()}
+    votes = Counter()
+    for _, model, scored in search.fold_scores(matrix, FEATURES, SMALL):
+        least = best_threshold_exact(scored).first()["threshold"]
+        for r in trees.score(model, test, FEATURES).filter(F.col("pred_prob") > least).collect():
+            votes[r["order_id"], r["product_id"]] += 1
+    wanted = {r["order_id"]: [] for r in test.select("order_id").distinct().collect()}
+    for (order, product), count in sorted(votes.items()):
+        if count > 3:
+            wanted[order].append(str(product))
+    assert voted == {order: " ".join(p) or "None" for order, p in wanted.items()}
+    assert any(products != "None" for products in voted.values())
+
+
+def test_many_categories_get_bins(matrix):
+    train = matrix.withColumn("aisle_id", F.col("product_id") % 300)
+    model = trees.fit_gbt(train, ["aisle_id"], GbtParams(rounds=1, depth=1, min_rows=1, max_bins=8))
+    assert trees.score(model, train, ["aisle_id"]).count() == train.count()
