@@ -48,7 +48,7 @@ def test_pairs_of_a_hot_product_and_a_hot_user(skewed):
 def test_orders_of_a_hot_user(skewed):
     row = F.col("id")
     orders = skewed.range(0, 60_000, 1, 8).select(
-        row.alias("order_id"), F.when(row % 3 == 0, 7).otherwise(row).cast("long").alias("user_id"),
+        row.alias("order_id"), F.when(row % 3 == 0, -7).otherwise(row).cast("long").alias("user_id"),
         F.when((row % 3 > 0) | (row == 0), "train").otherwise("prior").alias("eval_set"),
         (row % 4).cast("int").alias("order_number"), (row % 7).cast("int").alias("order_dow"),
         (row % 24).cast("int").alias("order_hour_of_day"), F.lit(3.0).alias("days_since_prior_order"),
