@@ -113,6 +113,7 @@ class GbtParams:
     row_fraction: float = 1.0
     step: float = 0.1
     min_improvement: float = 0.001
+    patience: int = 20  # rounds without a gain in AUC
     max_bins: int = 256
     seed: int = 7
 

@@ -23,7 +23,7 @@ from encore.config import (
     ForestParams,
     GbtParams,
 )
-from encore.models import search, trees
+from encore.models import rounds, search, trees
 from encore.operators import (
     baseline,
     candidates,
@@ -451,7 +451,7 @@ def _checked(scored: DataFrame, *columns: str) -> DataFrame:
 @query
 def gbt_scores(t):
     train, valid, features = _holdout(t)
-    model = trees.fit_gbt(train, features, BOOSTED, valid)
+    model, _ = rounds.fit_with_patience(train, features, valid, BOOSTED)
     return _checked(trees.score(model, valid, features), "label")
 
 
@@ -482,8 +482,9 @@ def feature_importance(t):
 def gbt_round_losses(t):
     train, valid, features = _holdout(t)
     model = trees.fit_gbt(train, features, BOOSTED)
-    losses = trees.round_losses(model, {"train": train, "valid": valid}, features)
-    return losses.select("round", "side", (F.col("loss") >= 0).alias("in_range"))
+    metrics = rounds.round_metrics(model, {"train": train, "valid": valid}, features)
+    return metrics.select(
+        "round", "side", (F.col("loss").between(0, 2) & F.col("auc").between(0.5, 1)).alias("in_range"))
 
 
 @query

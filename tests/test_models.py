@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from encore.config import ALL_FEATURES, GbtParams, SearchSpace
 from encore.functions.columns import fold_of
-from encore.models import search, trees
+from encore.models import rounds, search, trees
 from encore.operators import prepare, scoring
 from encore.operators.thresholds import best_threshold_exact
 from encore.session import materialise
@@ -43,12 +43,34 @@ def test_fit_score_save_load(spark, matrix, tmp_path):
     shares = trees.importances(model, FEATURES, spark).collect()
     assert [r["feature"] for r in shares] == FEATURES
     assert sum(r["importance"] for r in shares) == pytest.approx(1)
-    sides = {"train": train, "valid": valid}
-    losses = trees.round_losses(model, sides, FEATURES).collect()
-    assert [(r["round"], r["side"]) for r in losses] == [
-        (i, side) for side in sides for i in range(1, len(losses) // 2 + 1)]
-    on_train = [r["loss"] for r in losses if r["side"] == "train"]
+
+
+def test_metrics_of_each_round(matrix):
+    train, valid = prepare.holdout(matrix, drop=())
+    model, metrics = rounds.fit_with_patience(
+        train, FEATURES, valid, GbtParams(rounds=6, depth=3, min_rows=5, patience=2))
+    found = metrics.orderBy("side", "round").collect()
+    assert [(r["side"], r["round"]) for r in found] == [
+        (side, i) for side in ("train", "valid") for i in range(1, 7)]
+    on_train = [r["loss"] for r in found if r["side"] == "train"]
     assert on_train == sorted(on_train, reverse=True)
+    aucs = [r["auc"] for r in found if r["side"] == "valid"]
+    kept = rounds.rounds_to_keep(aucs, 2)
+    assert len(model.stages[-1].trees) == kept and aucs[kept - 1] == max(aucs[:kept])
+    # The last round of the kept model is what its own scores say.
+    scored = trees.score(model, valid, FEATURES)
+    assert scoring.roc_auc(scored).first()["auc"] == pytest.approx(aucs[kept - 1], abs=1e-3)
+    prepared = trees.filled(valid.select(*FEATURES, "label"), FEATURES)
+    for stage in model.stages[:-1]:
+        prepared = stage.transform(prepared)
+    losses = model.stages[-1].evaluateEachIteration(prepared)
+    assert [r["loss"] for r in found if r["side"] == "valid"][:kept] == pytest.approx(losses)
+
+
+def test_patience():
+    assert rounds.rounds_to_keep([0.5, 0.6, 0.7, 0.69, 0.7, 0.9], patience=2) == 3
+    assert rounds.rounds_to_keep([0.5, 0.6, 0.7, 0.69, 0.9], patience=2) == 5
+    assert rounds.rounds_to_keep([None, None], patience=1) == 2
 
 
 def test_unseen_category_is_scored(matrix):
