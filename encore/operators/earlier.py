@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from encore.config import KEYS
 from encore.functions.columns import repeat_ratio, safe_div
+from encore.operators.timeofweek import product_profile, time_cube
 from encore.session import materialise
 
 DAYS = 7
@@ -143,16 +144,20 @@ def user_product_order_stats(history: DataFrame) -> DataFrame:
 
 def _order_stats(pairs: DataFrame) -> DataFrame:
     users = pairs.groupBy("user_id").agg(F.max("last").alias("orders"))
-    c = F.col
     return pairs.join(users, "user_id").select(
-        "user_id",
-        "product_id",
-        c("n").alias("user_prod_norder"),
-        safe_div(c("n"), c("orders")).alias("user_prod_order_rate"),
-        (c("orders") - c("last") + 1).alias("user_prod_last_order_vacancy"),
-        safe_div(c("n"), c("last") - c("first") + 1).alias("user_prod_order_freq"),
-        safe_div(c("n"), c("orders") - c("first") + 1).alias("up_order_rate_since_first_order"),
-    )
+        "user_id", "product_id", *[c.alias(name) for name, c in _pair_columns().items()])
+
+
+def _pair_columns() -> dict[str, Column]:
+    """Over the pair's counts and the number of its user's orders."""
+    c = F.col
+    return {
+        "user_prod_norder": c("n"),
+        "user_prod_order_rate": safe_div(c("n"), c("orders")),
+        "user_prod_last_order_vacancy": c("orders") - c("last") + 1,
+        "user_prod_order_freq": safe_div(c("n"), c("last") - c("first") + 1),
+        "up_order_rate_since_first_order": safe_div(c("n"), c("orders") - c("first") + 1),
+    }
 
 
 def user_basket_stats(history: DataFrame) -> DataFrame:
@@ -209,44 +214,86 @@ def user_hour_share(history: DataFrame) -> DataFrame:
 def legacy_matrix(candidates: DataFrame, orders: DataFrame, history: DataFrame) -> DataFrame:
     """Candidates with the earlier features; shares that are missing stay NULL.
 
-    Product blocks join inner, so candidates whose product was never reordered drop out.
-    Pairs and orders are aggregated and stored once; most blocks come from these two.
+    Candidates whose product was never reordered drop out. All product features and counts by
+    slot are in one stored table, all user features at the target's slot in another; candidates
+    are joined with these two and with their pair. The tables are stored so that their joins can
+    be split where one user or product has very many candidates.
     """
     pairs = materialise(pair_counts(history), "pair-counts")
-    per_order = materialise(order_counts(history), "order-counts")
-    product = (
-        _reorder_stats(pairs)
-        .join(_reorder_gap(pairs), "product_id")
-        .join(_user_reorder(pairs), "product_id")
-    )
-    context = orders.filter(F.col("eval_set") != "prior").select(
-        "order_id", "user_id", "order_dow", "order_hour_of_day", "days_since_prior_order"
-    )
-    ratio = safe_div(F.col("days_since_prior_order"), F.col("user_interval_avg"))
-    user = (
-        _basket_stats(per_order, pairs)
-        .join(user_interval_avg(orders), "user_id")
-        .join(context, "user_id")
-        .join(
-            _user_slot_share(per_order, "order_dow", "user_week_prob"),
-            ["user_id", "order_dow"], "left",
-        )
-        .join(
-            _user_slot_share(per_order, "order_hour_of_day", "user_hour_prob"),
-            ["user_id", "order_hour_of_day"], "left",
-        )
-        .withColumn("user_days_since_prior_ratio", ratio)
-    )
+    product = materialise(_legacy_products(pairs, history), "legacy-products")
+    user = materialise(_legacy_users(pairs, orders, history), "legacy-users")
+    c = F.col
     labels = [name for name in candidates.columns if name not in KEYS]
-    # Stored, so that the joins can be split where one user or product has very many candidates.
-    user, product = materialise(user, "legacy-users"), materialise(product, "legacy-products")
-    return (
-        candidates.join(user, ["order_id", "user_id"])
-        .join(_order_stats(pairs), ["user_id", "product_id"])
+    rows = (
+        candidates.join(pairs, ["user_id", "product_id"])
+        .join(user, ["order_id", "user_id"])
         .join(product, "product_id")
-        .join(product_dow_smoothed(history), ["product_id", "order_dow"], "left")
-        .join(product_hour_smoothed(history), ["product_id", "order_hour_of_day"], "left")
-        .select(*KEYS, *labels, *LEGACY_FEATURES)
+    )
+    return rows.withColumns({
+        **_pair_columns(),
+        "week_prob": _smoothed_at("by_dow", "order_dow", DAYS),
+        "hour_prob": _smoothed_at("by_hour", "order_hour_of_day", HOURS),
+        "user_days_since_prior_ratio": safe_div(c("days_since_prior_order"), c("user_interval_avg")),
+    }).select(*KEYS, *labels, *LEGACY_FEATURES)
+
+
+def _legacy_products(pairs: DataFrame, history: DataFrame) -> DataFrame:
+    """Everything of the products that were reordered, with their lines by day and by hour."""
+    users, reorderers = F.count(F.lit(1)), F.count_if(F.col("again") > 0)
+    stats = pairs.groupBy("product_id").agg(
+        safe_div(F.count_if(F.col("n") >= 2), users).alias("prod_norder_second_order_rate"),
+        safe_div(F.sum("n"), F.sum("new")).alias("prod_norder_reorder_rate"),
+        F.sum("n").alias("prod_norder"),
+        F.sum("again").alias("prod_nreorder"),
+        safe_div(F.sum("gap_days"), F.sum("gaps")).alias("prod_days_interval_avg"),
+        users.alias("prod_nuser"),
+        reorderers.alias("prod_nuser_reorder"),
+        safe_div(reorderers, users).alias("prod_nuser_reorder_rate"),
+    ).filter(F.col("prod_nuser_reorder") > 0)
+    profile = product_profile(time_cube(history)).select("product_id", "by_dow", "by_hour")
+    return stats.join(profile, "product_id")
+
+
+def _smoothed_at(slots: str, slot: str, size: int) -> Column:
+    """Add-one share of the target's slot among the product's lines in valid slots."""
+    own = F.coalesce(F.col(slots)[F.col(slot)]["cnt"], F.lit(0))
+    valid = F.filter(F.map_entries(slots), lambda e: e["key"].between(0, size - 1))
+    total = F.aggregate(valid, F.lit(0).cast("long"), lambda so_far, e: so_far + e["value"]["cnt"])
+    return F.when(F.col(slot).between(0, size - 1), safe_div(own + 1, total + size))
+
+
+def _legacy_users(pairs: DataFrame, orders: DataFrame, history: DataFrame) -> DataFrame:
+    """Target orders with all features of their user, shares being those of the target's slot."""
+    c = F.col
+    context = orders.filter(c("eval_set") != "prior").select(
+        c("order_id").alias("target_id"), "user_id", c("order_dow").alias("target_dow"),
+        c("order_hour_of_day").alias("target_hour"),
+        c("days_since_prior_order").alias("target_gap"),
+    )
+    later = c("order_number") != 1
+    same_day, same_hour = c("order_dow") == c("target_dow"), c("order_hour_of_day") == c("target_hour")
+    number = F.count(F.lit(1))
+
+    def share(same: Column) -> Column:
+        return F.when(F.count_if(same) > 0, safe_div(F.count_if(same), number))
+
+    baskets = order_counts(history).join(context, "user_id").groupBy(
+        "user_id", "target_id", "target_dow", "target_hour", "target_gap"
+    ).agg(
+        safe_div(F.sum(F.when(later, c("again"))), F.sum(F.when(later, c("lines"))))
+        .alias("user_reorder_ratio"),
+        F.sum("lines").alias("user_total_items"),
+        safe_div(F.sum("lines"), number).alias("user_avg_items"),
+        share(same_day).alias("user_week_prob"),
+        share(same_hour).alias("user_hour_prob"),
+    ).filter(c("user_reorder_ratio").isNotNull())
+    distinct = pairs.groupBy("user_id").agg(
+        number.alias("user_distinct_items"), F.max("last").alias("orders"))
+    return baskets.join(distinct, "user_id").join(user_interval_avg(orders), "user_id").select(
+        "user_id", c("target_id").alias("order_id"), c("target_dow").alias("order_dow"),
+        c("target_hour").alias("order_hour_of_day"), c("target_gap").alias("days_since_prior_order"),
+        "user_reorder_ratio", "user_distinct_items", "user_total_items", "user_avg_items",
+        "user_interval_avg", "user_week_prob", "user_hour_prob", "orders",
     )
 
 
