@@ -73,16 +73,17 @@ def single_targets(orders: DataFrame) -> DataFrame:
 
 
 def toward_target(orders: DataFrame, targets: DataFrame) -> DataFrame:
-    """Orders with the slot of their user's target; orders of users without one stay."""
+    """Orders with the slot and set of their user's target; orders of users without one stay."""
+    test = flag(F.col("eval_set") == "test").alias(TEST)
     return orders.join(
-        targets.select("user_id", "target_dow", "target_hour"), "user_id", "left"
+        targets.select("user_id", "target_dow", "target_hour", test), "user_id", "left"
     )
 
 
 def matrix_pairs(history: DataFrame, targets: DataFrame, truth_lines: DataFrame | None) -> DataFrame:
     """Pair grain with reorder counts at the target's slot and, if there is truth, the label."""
     rows = history.select(
-        "user_id", "product_id", "order_number", "interval_accu", "reordered",
+        "user_id", "product_id", "order_number", "interval_accu", "reordered", TEST,
         flag((F.col("reordered") == 1) & (F.col("order_hour_of_day") == F.col("target_hour")))
         .alias("_hour"),
         flag((F.col("reordered") == 1) & (F.col("order_dow") == F.col("target_dow")))
@@ -91,6 +92,7 @@ def matrix_pairs(history: DataFrame, targets: DataFrame, truth_lines: DataFrame
     extra = [
         F.sum("_hour").alias("prod_user_hour_rcnt"),
         F.sum("_week").alias("prod_user_week_rcnt"),
+        F.max(TEST).alias(TEST),
     ]
     if truth_lines is not None:
         truth = (
@@ -105,6 +107,9 @@ def matrix_pairs(history: DataFrame, targets: DataFrame, truth_lines: DataFrame
     return with_gaps(pairs.filter(F.col("n") > 0))
 
 
+TEST = "target_is_test"  # 1 if the user's target order is a test order, else 0
+
+
 # Features of the wider families that the user, the product, or user and category determine.
 USER_SLOT = ["hour_user_reorder_prob", "week_user_reorder_prob"]
 USER_TARGET = ["user_lastorder_interval", "user_lastorder_interval_ratio"]
@@ -141,7 +146,8 @@ def feature_tables(
     """
     detail = products.select("product_id", "aisle_id", "department_id")
     pairs = materialise(
-        matrix_pairs(history, targets, truth_lines).join(detail, "product_id", "left"), "pairs"
+        matrix_pairs(history, targets, truth_lines).join(detail, "product_id", "left"), "pairs",
+        by=TEST,
     )
     cube = materialise(time_cube(history), "cube")
     per_product = product_level(pairs)
@@ -172,10 +178,12 @@ def matrix_of(
     ``train`` comes with ``label`` and ``seed`` if the tables were built with truth.
     """
     targets = tables.targets.filter(F.col("eval_set") == eval_set).drop("eval_set")
-    pairs = tables.pairs
+    # User features need the rows of this set's users only; products have theirs from all.
+    of_set = F.col(TEST) == int(eval_set == "test")
+    pairs = tables.pairs.filter(of_set).drop(TEST)
     users = user_level(
         pairs,
-        order_grain(tables.history),
+        order_grain(tables.history.filter(of_set)),
         F.sum("n_reordered").alias("user_rcnt"),
         F.sum("prod_user_hour_rcnt").alias("user_hour_rcnt"),
         F.sum("prod_user_week_rcnt").alias("user_week_rcnt"),
