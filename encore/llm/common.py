@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from encore.session import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Words are runs of digits, ASCII letters and everything beyond ASCII; all other bytes separate.
-WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# The same for bytes: lower-case letters, blank for each separator.
+# Words are runs of digits, ASCII letters and everything beyond ASCII; all other bytes separate and
+# become blanks, and A-Z become lower case.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
     for b in range(256)
@@ -31,8 +30,12 @@ def words_of(text: str) -> list[bytes]:
     return (text or "").encode().translate(WORD_BYTES).split()
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores where the frame has such a column."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:

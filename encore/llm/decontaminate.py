@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import LOWER, UPPER, WORD_BYTES
+from encore.llm.common import LOWER, UPPER, WORD_BYTES, unused
 from encore.session import materialise
 
 WINDOW, GRAM = 13, 5
@@ -230,7 +230,8 @@ def remove_contaminated(
     columns = {"id": id_column, "text": text_column, "item_id": item_id_column,
                "item_text": item_text_column}
     base, per_text = measured(docs, benchmark, window, gram, columns)
+    bad_key = unused(docs, "contaminated_key")
     bad = materialise(
         base.join(per_text, "key").filter(is_contaminated(words_per_hit)).select(
-            F.col("key").alias("contaminated_key")).distinct(), "contaminated-texts")
-    return docs.join(bad, text_key(F.col(text_column)) == F.col("contaminated_key"), "left_anti")
+            F.col("key").alias(bad_key)).distinct(), "contaminated-texts")
+    return docs.join(bad, text_key(F.col(text_column)) == F.col(bad_key), "left_anti")

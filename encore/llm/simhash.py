@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import LOWER_BYTES, compact
+from encore.llm.common import LOWER_BYTES, compact, unused
 from encore.llm.components import components
 from encore.session import materialise
 
@@ -207,14 +207,15 @@ def keep_first(
         F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
                  row_hash.alias("hash")).alias("key"), F.col(text_column).alias("text"))
     found = near_duplicates(keyed, threshold, "key", "text")
+    first_id, first_hash = unused(docs, "first_id"), unused(docs, "first_hash")
     firsts = compact(
         found.groupBy("component_id").agg(
             F.count_if(F.col("key") == F.col("component_id")).alias("first_rows")).select(
-            F.col("component_id.id").alias("first_id"), F.col("component_id.hash").alias("first_hash"),
+            F.col("component_id.id").alias(first_id), F.col("component_id.hash").alias(first_hash),
             "first_rows"), "print-firsts")
-    same = F.col(id_column).eqNullSafe(F.col("first_id")) & (row_hash == F.col("first_hash"))
-    single = docs.join(firsts.filter("first_rows = 1"), same, "left_semi")
-    repeated = firsts.filter("first_rows > 1")
+    same = F.col(id_column).eqNullSafe(F.col(first_id)) & (row_hash == F.col(first_hash))
+    single = docs.join(firsts.filter("first_rows = 1").drop("first_rows"), same, "left_semi")
+    repeated = firsts.filter("first_rows > 1").drop("first_rows")
     if repeated.isEmpty():  # then no row's text is shuffled
         return single
     return single.unionByName(

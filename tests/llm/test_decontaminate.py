@@ -59,7 +59,7 @@ def case(seed, short):
 def test_against_brute_force(spark, short):
     docs, items = case(1 + short, short)
     frame = spark.createDataFrame(
-        [(i, t, "k", 1) for i, t in docs], "doc_id long, text string, key string, n_words int")
+        [(i, t, "k", 1) for i, t in docs], "doc_id long, text string, contaminated_key string, n_words int")
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, hash int")
     found = sorted(map(tuple, contamination(frame, bench).collect()), key=str)
     assert found == plain(docs, items)
