@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encore.llm.suffix_array import common_prefixes, suffix_array
@@ -244,12 +244,10 @@ def shard_repeats(length: int) -> Callable[[pa.Table], pa.Table]:
         again = (shared >= length) & whole
         group = np.cumsum(~again) - 1
         owner = np.repeat(np.arange(len(kept)), sizes)
-        rank_of = (owner[sa].astype(np.int64) << 32) + sa  # earlier stretch, earlier start
-        starts_at = start[kept].astype(np.int64)
-        # Within one document stretches can overlap: order by document, then place in it.
+        # What is earlier goes by document, then by place in it: stretches of one can overlap.
         at_doc = np.concatenate(([0], np.cumsum(
             (np.diff(doc[kept]) != 0) | (np.diff(content[kept]) != 0))))
-        place = starts_at[owner] + np.arange(len(text)) - edges[owner]
+        place = start[kept].astype(np.int64)[owner] + np.arange(len(text)) - edges[owner]
         rank_of = (at_doc[owner].astype(np.int64) << 32 | place)[sa]
         least = np.minimum.reduceat(rank_of, np.flatnonzero(~again))
         is_first = rank_of == least[group]
