@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from encore.session import materialise
 LENGTH, GRAM = 100, 32
 BUCKET_BYTES = 16 << 20  # of text whose minimizers meet in a bucket
 SHARD_RUNS = 8192  # of stretches, in a shard; also those of a minimizer before it is split
-FLUSH_RUNS = 1 << 20  # that a task gathers before it sends them on
+FLUSH_RUNS = 1 << 19  # that a task gathers before it sends them on
+SENT_ROWS = 20_000  # stretches in a batch
 SEPARATOR = b"\xff"  # in no UTF-8 text
 LAST = 2**63 - 1  # place of rows without an id: after all others
 MULTIPLIER, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd numbers
@@ -186,21 +188,24 @@ def bucket_repeats(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 def cut_stretches(batches: Iterator[pa.RecordBatch], length: int):
     """(shard, split, doc, content, start, stretch) from documents with their runs."""
-    for batch in batches:
-        out = [[] for _ in range(6)]
-        docs, contents, texts, runs = (c.to_pylist() for c in batch.columns)
-        for doc, content, text, found in zip(docs, contents, texts, runs, strict=True):
-            data = text.encode()
-            for r in found:
-                start = r["start"]
-                row = (r["shard"], r["split"], doc, content, start,
-                       data[start:start + r["run"] + length - 1])
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        names = ("shard", "split", "doc", "content", "start", "stretch")
-        full = pa.table([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
-        yield from full.to_batches(max_chunksize=20_000)
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    names = ("shard", "split", "doc", "content", "start", "stretch")
+
+    def stretches():
+        for batch in batches:
+            docs, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (doc, content) in enumerate(zip(docs, contents, strict=True)):
+                data = batch.column(2)[i].as_py().encode()  # one document's runs at a time
+                for r in batch.column(3)[i].as_py():
+                    start = r["start"]
+                    yield (r["shard"], r["split"], doc, content, start,
+                           data[start:start + r["run"] + length - 1])
+
+    found = stretches()
+    while part := list(islice(found, SENT_ROWS)):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v, k) for v, k in zip(zip(*part, strict=True), kinds, strict=True)],
+            names=names)
 
 
 def spans_of(removable: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
