@@ -6,7 +6,8 @@ so it decides where a string is looked at:
 
 1. Every document is cut into runs of starts whose strings share a minimizer. Tasks drop copies of
    whole texts, and send hashes with places to buckets by hash; there, minimizers that occur once in
-   the corpus are left out.
+   the corpus are left out, unless their gram stands twice in the stretch of their run: a string can
+   start twice in it.
 2. The stretches of text of the remaining runs are dealt to shards by minimizer. In a shard, equal
    stretches are one; the suffix array of the others and its common prefixes give the strings that
    occur again, and all but the earliest start is removable.
@@ -37,6 +38,7 @@ BUCKET_BYTES = 16 << 20  # of text whose minimizers meet in a bucket
 SHARD_RUNS = 8192  # of stretches, in a shard; also those of a minimizer before it is split
 FLUSH_RUNS = 1 << 19  # that a task gathers before it sends them on
 SENT_ROWS = 20_000  # stretches in a batch
+RUNS_AT_ONCE = 4096  # whose grams are compared in one step
 SEPARATOR = b"\xff"  # in no UTF-8 text
 LAST = 2**63 - 1  # place of rows without an id: after all others
 MULTIPLIER, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd numbers
@@ -67,12 +69,36 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[:count], least[shift:shift + count])
 
 
+def stands_twice(
+    grams: np.ndarray, width: int, least: np.ndarray, first: np.ndarray, size: np.ndarray,
+) -> np.ndarray:
+    """Whether the minimizing gram of a run stands at two or more places in the run's span.
+
+    A string that starts twice in one run has it at two places at least. The leftmost is in the
+    window of the run's first start, the rightmost in that of its last.
+    """
+    windows = np.lib.stride_tricks.sliding_window_view(grams, width)
+    twice = np.empty(len(first), np.int32)
+    for a in range(0, len(first), RUNS_AT_ONCE):
+        low, gram = first[a:a + RUNS_AT_ONCE], least[a:a + RUNS_AT_ONCE, None]
+        high = low + size[a:a + RUNS_AT_ONCE] - 1
+        left = low + (windows[low] == gram).argmax(axis=1)
+        right = high + width - 1 - (windows[high] == gram)[:, ::-1].argmax(axis=1)
+        twice[a:a + RUNS_AT_ONCE] = left != right
+    return twice
+
+
 def minimizer_runs(data: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(minimizer, first start, number of starts) of the runs of a text's strings."""
+    """(minimizer, first start, number of starts, sure) of the runs of a text's strings.
+
+    ``sure`` is 1 where the run may repeat a string on its own, so that it has to be looked at even
+    if its minimizer is at no other place.
+    """
     if len(data) < length:
-        return (np.empty(0, np.uint64), *[np.empty(0, np.int32)] * 2)
+        return (np.empty(0, np.uint64), *[np.empty(0, np.int32)] * 3)
     width = length - gram + 1
-    least = sliding_least(gram_hashes(np.frombuffer(data, np.uint8), gram), width)
+    grams = gram_hashes(np.frombuffer(data, np.uint8), gram)
+    least = sliding_least(grams, width)
     new = np.concatenate(([True], least[1:] != least[:-1]))
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(least)))
@@ -81,11 +107,14 @@ def minimizer_runs(data: bytes, length: int, gram: int) -> tuple[np.ndarray, ...
         offset = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = np.repeat(first, pieces) + width * offset
         size = np.minimum(np.repeat(size, pieces) - width * offset, width)
-    return least[first], first.astype(np.int32), size.astype(np.int32)
+    least = least[first]
+    sure = stands_twice(grams, width, least, first, size)
+    return least, first.astype(np.int32), size.astype(np.int32), sure
 
 
 def known_repeats(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of minimizers that occur at two places, and a mask of all but the first of each.
+    """Runs of minimizers that occur at two places or are marked, and a mask of all but the first
+    of each.
 
     A place is a text and a start in it; of one place in copies of a text, the first document counts.
     """
@@ -150,12 +179,13 @@ def send_runs(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram
             if content in texts:
                 texts[content] = min(doc, texts[content])
                 continue
-            hashes, start, run = minimizer_runs((text or "").encode(), length, gram)
+            hashes, start, run, sure = minimizer_runs((text or "").encode(), length, gram)
             if not len(hashes):
                 continue
             texts[content] = doc
             part = np.zeros(len(hashes), RUN)
             part["hash"], part["start"], part["run"], part["content"] = hashes, start, run, content
+            part["sure"] = sure
             gathered.append(part)
             count += len(part)
         if count >= FLUSH_RUNS:

@@ -82,6 +82,33 @@ def test_against_brute_force(spark, monkeypatch, length, gram, runs):
                          for i, t in rows)
 
 
+def unique_stretch(draw, period, size):
+    word = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=period))
+    return (word * size)[:size]
+
+
+@pytest.mark.parametrize("bucket_bytes", [10_000, 16 << 20])
+def test_stretches_that_repeat_only_in_themselves(spark, monkeypatch, bucket_bytes):
+    """Of a period that is nowhere else: one run of starts each, often with a minimizer of its own."""
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket_bytes)
+    draw = random.Random(3)
+    other = lambda n: "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ ", k=n))
+    rows = [(0, "a" * 150)]
+    for size in range(101, 169):
+        period = draw.randint(1, 60)
+        rows.append((len(rows), unique_stretch(draw, period, size)))
+        rows.append((len(rows), other(draw.randint(1, 400)) + unique_stretch(draw, period, size)
+                     + other(draw.randint(1, 400))))
+    rows += [(5000, rows[6][1]), (5001, rows[6][1] + other(50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted(map(tuple, repeat_report(docs).collect()))
+    expected = plain(rows, 100)
+    assert found == sorted((i, *expected[i, t][:4]) for i, t in rows)
+    assert next(r[2] for r in found if r[0] == 0) == 149
+    kept = {r.doc_id: r.text for r in remove_repeats(docs).collect()}
+    assert kept == {i: expected[i, t][4].decode() for i, t in rows}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert repeat_report(docs.limit(0)).count() == 0
