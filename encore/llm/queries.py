@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.llm import (
+    conversations,
     decontaminate,
     embedding_dedup,
     html_text,
@@ -73,12 +74,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     function.__name__: function
     for function in (
         op1_toxicity, op2_token_counts, op3_benchmark_decontamination,
         op4_simhash_near_dedup, op5_suffix_array_dedup, op6_license_scan,
         op7_best_fit_packing, op8_html_extraction,
-        op9_embedding_near_dedup, op10_quality_classifier,
+        op9_embedding_near_dedup, op10_quality_classifier, op11_conversation_repair,
     )
 }
