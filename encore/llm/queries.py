@@ -17,6 +17,7 @@ from encore.llm import (
     packing,
     quality,
     repeats,
+    rules,
     simhash,
     token_counts,
     toxicity,
@@ -78,6 +79,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     function.__name__: function
     for function in (
@@ -85,5 +90,6 @@ QUERIES: dict[str, Query] = {
         op4_simhash_near_dedup, op5_suffix_array_dedup, op6_license_scan,
         op7_best_fit_packing, op8_html_extraction,
         op9_embedding_near_dedup, op10_quality_classifier, op11_conversation_repair,
+        op12_quality_rules,
     )
 }
