@@ -130,46 +130,49 @@ class Regression:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40))))
 
 
-def features(text: str | None, hashed: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(rows over all families, shares) of a text, each row once."""
-    data = (text or "").encode()
-    parts: list[list] = [[] for _ in FAMILIES]
-    for family, found in grams(text or "", data.split(), hashed):
-        rows, counts = np.unique(found, return_counts=True)
-        parts[family].append((rows, counts))
-    rows, shares = [], []
-    for family, pieces in enumerate(parts):
-        if not pieces:
-            continue
-        every = np.concatenate([r for r, _ in pieces])
-        weight = np.concatenate([c for _, c in pieces])
-        own, place = np.unique(every, return_inverse=True)
-        counts = np.bincount(place, weight, len(own))
-        rows.append(own.astype("<u4") + np.uint32(family * ROWS))
-        shares.append((counts / max(counts.sum(), 1)).astype("<f4"))
-    if not rows:
-        return np.zeros(0, "<u4"), np.zeros(0, "<f4")
-    return np.concatenate(rows), np.concatenate(shares)
-
-
-def train(samples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 5) -> Regression:
+Sample = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def features(text: str | None, hashed: Words) -> Sample:
+    """(rows, scaled shares, number of rows of each family) of a text, each row once.
+
+    Two bytes each: a sample of documents is brought together for training.
+    """
+    text = text or ""
+    counts: list[dict] = [{} for _ in FAMILIES]
+    for family, found in grams(text, text.encode().split(), hashed):
+        for row, count in zip(*map(np.ndarray.tolist, np.unique(found, return_counts=True)), strict=True):
+            counts[family][row] = counts[family].get(row, 0) + count
+    rows = [np.fromiter(own, "<u2", len(own)) for own in counts]
+    shares = [np.fromiter(own.values(), float, len(own)) for own in counts]
+    scaled = [(SCALE * s / max(s.sum(), 1)).astype("<f2") for s in shares]
+    return np.concatenate(rows), np.concatenate(scaled), np.array([len(r) for r in rows], "<u4")
+
+
+def train(samples: list[Sample], y: np.ndarray, seed: int = 5) -> Regression:
     """Logistic regression by Adam on nine tenths of the sample, Platt's scaling on the rest."""
     size = len(FAMILIES) * ROWS
-    sizes = np.array([len(r) for r, _ in samples])
+    sizes = np.array([len(r) for r, _, _ in samples])
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    rows = np.concatenate([r for r, _ in samples]).astype(np.int64)
-    shares = np.concatenate([s for _, s in samples]) * np.float32(SCALE)
+    rows, shares = np.empty(starts[-1], np.int32), np.empty(starts[-1], np.float16)
+    for at, (own, share, families) in zip(starts, samples, strict=False):
+        rows[at:at + len(own)] = own
+        rows[at:at + len(own)] += np.repeat(np.arange(len(FAMILIES), dtype=np.int32) * ROWS, families)
+        shares[at:at + len(own)] = share
     draw = np.random.default_rng(seed)
     order = draw.permutation(len(y))
     rest, own = order[:len(y) // 10], order[len(y) // 10:]
     # Rows that occur in the sample, numbered anew: all others keep the weight 0.
-    used, rows = np.unique(rows, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[rows] = True
+    used = np.flatnonzero(seen)
+    rows = (np.cumsum(seen, dtype=np.int32) - 1)[rows]
     weights, bias = np.zeros(len(used)), 0.0
     first, second, first_b, second_b, step = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, 0
 
     def entries(members):
         at = np.concatenate([np.arange(starts[m], starts[m + 1]) for m in members])
-        return rows[at], shares[at], np.repeat(np.arange(len(members)), sizes[members])
+        return rows[at], shares[at].astype(float), np.repeat(np.arange(len(members)), sizes[members])
 
     def margins(members):
         at, share, owner = entries(members)
@@ -242,21 +245,20 @@ def fit(
         for batch in batches:
             found = [features(text, known) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r, _ in found], pa.binary()),
-                 pa.array([s.tobytes() for _, s in found], pa.binary())],
-                names=["label", "grams", "shares"])
+                [batch.column(0), *[pa.array([own[k].tobytes() for own in found], pa.binary())
+                                    for k in range(3)]],
+                names=["label", "grams", "shares", "sizes"])
 
     sample = labelled_sample(docs, labels, label, FOLDS, HELD_OUT, id_column, text_column, limit)
-    known = materialise(
-        sample.mapInArrow(hashed, "label int, grams binary, shares binary"), "grams"
-    ).toArrow().to_pylist()
-    known.sort(key=lambda row: (row["label"], row["grams"], row["shares"]))  # the same in any order
-    y = np.array([row["label"] > 0 for row in known], float)
+    stored = materialise(sample.mapInArrow(
+        hashed, "label int, grams binary, shares binary, sizes binary"), "grams")
+    known = sorted(tuple(row) for row in stored.toLocalIterator())  # the same in any order
+    y = np.array([row[0] > 0 for row in known], float)
     if not 0 < y.sum() < len(y):
         share = float(y.mean()) if len(y) else 1.0
         constant = float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20))
         return Regression(np.zeros((len(FAMILIES), ROWS), np.float32), constant)
-    return train([(np.frombuffer(row["grams"], "<u4"), np.frombuffer(row["shares"], "<f4"))
+    return train([tuple(np.frombuffer(row[k + 1], kind) for k, kind in enumerate(("<u2", "<f2", "<u4")))
                   for row in known], y)
 
 
