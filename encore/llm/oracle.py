@@ -58,7 +58,37 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM component LEFT JOIN links USING (vec_id)
 """
 
+HARD_NEGATIVES = """
+WITH vec AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+numbered AS (SELECT *, row_number() OVER () AS r FROM vec),
+pair AS (
+    SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+           CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM numbered a JOIN numbered b ON a.r <> b.r AND len(a.q) = len(b.q)
+    WHERE a.vec_id % 50 = 0
+),
+positive AS (
+    SELECT a, anchor_id, other_id AS positive_id, score AS positive_score,
+           row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id NULLS LAST) AS place
+    FROM pair WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.a, place ORDER BY score DESC, other_id NULLS LAST) AS INTEGER)
+           AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positive p JOIN pair n ON n.a = p.a AND NOT n.same
+     AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 ORACLE_SQL = {
     "op3_benchmark_decontamination": CONTAMINATION,
     "op9_embedding_near_dedup": NEAR_VECTORS,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

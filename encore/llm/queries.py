@@ -12,6 +12,7 @@ from encore.llm import (
     conversations,
     decontaminate,
     embedding_dedup,
+    hard_negatives,
     html_text,
     license_scan,
     packing,
@@ -83,6 +84,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     function.__name__: function
     for function in (
@@ -90,6 +95,6 @@ QUERIES: dict[str, Query] = {
         op4_simhash_near_dedup, op5_suffix_array_dedup, op6_license_scan,
         op7_best_fit_packing, op8_html_extraction,
         op9_embedding_near_dedup, op10_quality_classifier, op11_conversation_repair,
-        op12_quality_rules,
+        op12_quality_rules, op13_hard_negatives,
     )
 }
