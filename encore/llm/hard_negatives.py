@@ -149,8 +149,8 @@ def _matches(rows: DataFrame, anchors: DataFrame, shards: int, k: int) -> DataFr
     sent = anchors.select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"),
         "row", "id", "label", "size", "vector", "wanted")
-    ordered = dealt.unionByName(sent).repartition(shards, "shard").sortWithinPartitions(
-        "shard", "kind", "row")
+    ordered = dealt.unionByName(sent).repartitionById(shards, F.col("shard")).sortWithinPartitions(
+        "shard", "kind", "row")  # a shard for each task
 
     def search(batches):
         names = ["anchor_row", "anchor_id", "target", "found_id", "score"]
