@@ -365,15 +365,17 @@ def edits(blocks: DataFrame) -> DataFrame:
                 leads.append([way[1] for way in ways])
             yield extended(batch, letters, leads, batch.column("cost").to_pylist())
 
+    # Blocks are small but take long: a number of tasks that is not reduced by their size.
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = blocks.filter(~whole)
-    costs = long.select("conv", "block", "last", "codes").repartition("conv", "block").mapInArrow(
+    costs = long.select("conv", "block", "last", "codes").repartition(tasks, "conv", "block").mapInArrow(
         cross, f"conv {kind}, block int, costs array<long>")
     prices = materialise(costs.groupBy("conv").applyInArrow(
         borders, f"conv {kind}, block int, exits array<long>, cost long"), "borders")
     met = long.alias("l").join(
         prices.alias("r"),
         F.col("l.conv").eqNullSafe(F.col("r.conv")) & (F.col("l.block") == F.col("r.block"))
-    ).select("l.*", "r.exits", "r.cost")
+    ).select("l.*", "r.exits", "r.cost").repartition(tasks, "conv", "block")
     return blocks.filter(whole).mapInArrow(short, result).unionByName(met.mapInArrow(traced, result))
 
 
