@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 # The five-fold layout, the decision threshold and the two brackets
-# within which thresholds are searched.
+# from which thresholds are searched, with the tolerances of the search.
 FOLDS = 5
 DECISION_THRESHOLD = 0.177
 ENSEMBLE_BRACKET = (0.15, 0.25)
+TUNING_BRACKET = (0.15, 0.2)
+ENSEMBLE_TOLERANCE, TUNING_TOLERANCE = 1e-5, 1e-2
 DEBUG_ROWS = 10_000
 REFIT_ROUNDS = 160  # of the model on all labelled rows, once the features are chosen
 
@@ -133,7 +135,7 @@ class ForestParams:
 
 @dataclass(frozen=True)
 class SearchSpace:
-    """One parameter and the values a sweep tries."""
+    """One parameter and the values a sweep tries: ``l2``, or a field of ``GbtParams``."""
 
-    name: str = "step"
-    values: tuple = field(default=(0.03125, 0.0625, 0.125, 0.25, 0.5))
+    name: str = "l2"
+    values: tuple = field(default=(0.03125, 0.25, 1.0, 4.0, 16.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,6 +113,38 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     )
 
 
+def roc_auc_by(scored: DataFrame, by: Sequence[str], rows: str | None = None) -> DataFrame:
+    """``roc_auc`` of every group in one pass: the columns of ``by``, and ``auc``.
+
+    ``rows`` names a column that says how many rows a row stands for.
+
+    Scores are ranked in blocks, ranges of (group, score): a large group spreads over many blocks and
+    a block holds many small groups. Each piece of a group counts within its block, pieces are
+    added along the group.
+    """
+    by, wide = list(by), "decimal(19,0)"
+    weight = F.lit(1).cast("long") if rows is None else F.col(rows)
+    scores = scored.groupBy(*by, "pred_prob").agg(*[
+        F.sum(F.when(F.col("label") == value, weight).otherwise(0)).alias(name)
+        for name, value in (("pos", 1), ("neg", 0))])
+    pieces = scores.repartitionByRange(*by, F.desc("pred_prob")).withColumn(
+        "_block", F.spark_partition_id())
+    higher = (
+        W.partitionBy(*by, "_block").orderBy(F.desc("pred_prob")).rowsBetween(W.unboundedPreceding, -1)
+    )
+    above = F.coalesce(F.sum("pos").over(higher), F.lit(0))
+    blocks = pieces.withColumn(
+        "_won2", F.col("neg").cast(wide) * (2 * above + F.col("pos")).cast(wide)
+    ).groupBy(*by, "_block").agg(
+        F.sum("_won2").alias("won2"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    pos_before = F.coalesce(F.sum("pos").over(before), F.lit(0))  # a group's pieces: at most the blocks
+    return blocks.withColumn(
+        "won2", F.col("won2") + F.col("neg").cast(wide) * (2 * pos_before).cast(wide)
+    ).groupBy(*by).agg(
+        safe_div(F.sum("won2"), F.lit(2.0) * F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+
+
 def worst_user(user_metrics: DataFrame) -> DataFrame:
     """The user with the lowest F1 (then the lowest id), as one row."""
     return user_metrics.agg(F.min(F.struct("f1", "user_id")).alias("w")).select("w.user_id")

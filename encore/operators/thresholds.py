@@ -5,7 +5,10 @@ The threshold is tuned on the rows it is then scored on, so the F1 it reports is
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,10 +17,13 @@ from pyspark.sql import functions as F
 from encore.functions.columns import f1, flag
 from encore.functions.prefix import running_sums
 from encore.operators.scoring import over_blocks, ranked_blocks
+from encore.session import materialise
 
 # Parts per unit of F1 in exact integer arithmetic, and score bands a user's rows are cut in.
 UNITS = 10**12
 BANDS = 256
+# Thresholds of a pass of the bracketed search, and passes at most.
+POINTS, MOST_PASSES = 41, 12
 
 
 def grid(low: float, high: float, steps: int) -> list[float]:
@@ -60,6 +66,93 @@ def best_threshold(scored: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     )
 
 
+def score_steps(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows and positives per group, user and score: all that thresholds depend on."""
+    return scored.groupBy(*by, "user_id", "pred_prob").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count(F.lit(1)).alias("rows"))
+
+
+def _sections(low: float, high: float, points: int) -> list[float]:
+    return [round(low + (high - low) * i / (points - 1), 12) for i in range(points)]
+
+
+def threshold_search(
+    scored: DataFrame,
+    low: float,
+    high: float,
+    tolerance: float,
+    by: Sequence[str] = (),
+    points: int = POINTS,
+) -> DataFrame:
+    """Search for each group's threshold from a bracket: ``by``, threshold, mean_f1, passes.
+
+    Each pass takes the mean F1 at evenly spaced thresholds between a group's bounds, all groups
+    and thresholds as columns of one aggregate, and narrows the bounds to the neighbours of the best
+    (the lowest of equals, to nine decimals), until these are ``tolerance`` apart. The bracket is a start
+    and not a bound: where its first or last threshold is the best, the search goes on to 0 or 1 on
+    that side. Mean F1 has many local maxima, so this is a good threshold and not always the best one
+    (``best_threshold_exact``).
+
+    Rows are reduced to (group, user, score) once; that table is stored and read by each pass. One row
+    per group comes to the driver.
+    """
+    by = list(by)
+    steps = materialise(score_steps(scored, by), "score-steps")
+    groups = [tuple(row) for row in steps.select(*by).distinct().collect()] if by else [()]
+    bounds = {group: (low, high) for group in groups}
+    best: dict[tuple, tuple[float, float, int]] = {}
+    widened: set[tuple] = set()
+    for number in range(1, MOST_PASSES + 1):
+        if not bounds:
+            break
+        tried = {group: _sections(*edges, points) for group, edges in bounds.items()}
+        for group, means in _means_at(steps, by, tried, points).items():
+            ranked = [round(mean, 9) for mean in means]
+            at = ranked.index(max(ranked))
+            cuts = tried[group]
+            best[group] = (cuts[at], ranked[at], number)
+            left, right = cuts[max(at - 1, 0)], cuts[min(at + 1, points - 1)]
+            if group not in widened and number == 1 and at in (0, points - 1):
+                left, right = (0.0, right) if at == 0 else (left, 1.0)
+                widened.add(group)
+            elif cuts[1] - cuts[0] <= tolerance * (1 + 1e-6):
+                del bounds[group]
+                continue
+            bounds[group] = (left, right)
+        for group in [g for g in bounds if g not in best]:
+            del bounds[group]  # no rows
+    schema = "".join(f"{steps.schema[name].simpleString().replace(':', ' ', 1)}, " for name in by)
+    return scored.sparkSession.createDataFrame(
+        [(*group, *found) for group, found in best.items()],
+        schema + "threshold double, mean_f1 double, passes int")
+
+
+def _means_at(
+    steps: DataFrame, by: list[str], tried: dict[tuple, list[float]], points: int,
+) -> dict[tuple, list[float]]:
+    """Mean F1 over users of each group at each of its thresholds."""
+    if by:  # each group's thresholds, by its place in the list
+        order = {group: i for i, group in enumerate(tried)}
+        place = F.lit(None).cast("int")
+        for group, i in order.items():
+            same = [F.col(name).eqNullSafe(F.lit(value)) for name, value in zip(by, group, strict=True)]
+            place = F.when(reduce(and_, same), i).otherwise(place)
+        steps = steps.withColumn("_group", place).filter("_group is not null")
+        table = F.from_json(F.lit(json.dumps(list(tried.values()))), "array<array<double>>")
+        cuts = F.element_at(table, F.col("_group") + 1)
+        at = [cuts[i] for i in range(points)]
+    elif () in tried:
+        at = [F.lit(t) for t in tried[()]]
+    counts = [F.sum("pos").alias("actual")]
+    for i, t in enumerate(at):
+        above = F.col("pred_prob") > t
+        counts += [F.sum(F.when(above, F.col("rows")).otherwise(0)).alias(f"n{i}"),
+                   F.sum(F.when(above, F.col("pos")).otherwise(0)).alias(f"tp{i}")]
+    means = [F.avg(f1(F.col(f"tp{i}"), F.col(f"n{i}"), F.col("actual"))).alias(f"m{i}") for i in range(points)]
+    found = steps.groupBy(*by, "user_id").agg(*counts).groupBy(*by).agg(*means).collect()
+    return {tuple(row)[:len(by)]: list(row)[len(by):] for row in found if row[len(by)] is not None}
+
+
 def best_threshold_exact(scored: DataFrame) -> DataFrame:
     """The best threshold of all: (threshold, mean_f1), the highest of equals.
 

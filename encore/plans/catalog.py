@@ -9,7 +9,6 @@ from functools import cached_property
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from encore.config import (
@@ -17,9 +16,12 @@ from encore.config import (
     CATEGORICAL,
     DECISION_THRESHOLD,
     ENSEMBLE_BRACKET,
+    ENSEMBLE_TOLERANCE,
     HOLDOUT_DROPPED,
     KEYS,
     REFIT_ROUNDS,
+    TUNING_BRACKET,
+    TUNING_TOLERANCE,
     ForestParams,
     GbtParams,
 )
@@ -57,6 +59,7 @@ SCALED = [
     name for name in ALL_FEATURES if name not in CATEGORICAL and name not in HOLDOUT_DROPPED
 ]
 BOOSTED, FOREST = GbtParams(), ForestParams()
+BRACKETS = [("tuning", TUNING_BRACKET, TUNING_TOLERANCE), ("ensemble", ENSEMBLE_BRACKET, ENSEMBLE_TOLERANCE)]
 
 
 def grid_values() -> list[float]:
@@ -397,6 +400,19 @@ register("user_debug_metrics",
 register("roc_auc", lambda t: scoring.roc_auc(t.scored))
 register("threshold_sweep", lambda t: thresholds.threshold_sweep(t.scored, grid_values()))
 register("best_threshold", lambda t: thresholds.best_threshold(t.scored, grid_values()))
+
+
+@query
+def threshold_search(t):
+    """Bracketed search with either bracket and tolerance."""
+    found = None
+    for name, bracket, tolerance in BRACKETS:
+        one = thresholds.threshold_search(t.scored, *bracket, tolerance).select(
+            F.lit(name).alias("bracket"), "threshold", "mean_f1", "passes")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 register("best_threshold_exact", lambda t: thresholds.best_threshold_exact(t.scored))
 register("case_user_rows", lambda t: scoring.case_rows(
     scoring.scored_rows(t.scored, DECISION_THRESHOLD), t.worst))
@@ -436,55 +452,48 @@ register("submission", lambda t: submission.submission(
     scoring.thresholded(t.test_scored, DECISION_THRESHOLD)))
 
 
-# Models, at full strength. SQL has no scores to compare with, so these queries show what can be
-# checked of a result: which rows are scored and whether the scores are sound.
+# Models, at full strength. SQL has no such scores, so tests check the rows and the range of the values.
 def _holdout(t: Retail) -> tuple[DataFrame, DataFrame, list[str]]:
     train, valid = prepare.holdout(materialise(t.matrix("train"), "matrix"))
     return train, valid, [name for name in ALL_FEATURES if name in train.columns]
 
 
-def _checked(scored: DataFrame, *columns: str) -> DataFrame:
-    sound = F.coalesce(F.col("pred_prob").between(0, 1), F.lit(False))
-    return scored.select(*KEYS, *columns, sound.alias("in_range"))
+def _scores(scored: DataFrame, *columns: str) -> DataFrame:
+    return scored.select(*KEYS, *columns, "pred_prob")
 
 
 @query
 def gbt_scores(t):
     train, valid, features = _holdout(t)
-    model, _ = rounds.fit_with_patience(train, features, valid, BOOSTED)
-    return _checked(trees.score(model, valid, features), "label")
+    model, _ = rounds.fit_with_patience(train, features, valid, BOOSTED, sides=["valid"])
+    return _scores(trees.score(model, valid, features), "label")
 
 
 @query
 def gbt_scores_without_validation(t):
     train, valid, features = _holdout(t)
     model = trees.fit_gbt(train, features, BOOSTED)
-    return _checked(trees.score(model, valid, features), "label")
+    return _scores(trees.score(model, valid, features), "label")
 
 
 @query
 def forest_scores(t):
     train, valid, features = _holdout(t)
     model = trees.fit_forest(train, features, FOREST)
-    return _checked(trees.score(model, valid, features), "label")
+    return _scores(trees.score(model, valid, features), "label")
 
 
 @query
 def feature_importance(t):
     train, _, features = _holdout(t)
-    shares = trees.importances(trees.fit_gbt(train, features, BOOSTED), features, t.spark)
-    total = F.round(F.sum("importance").over(W.partitionBy(F.lit(0))), 6)  # a row per feature
-    return shares.select(
-        "feature", F.col("importance").between(0, 1).alias("in_range"), total.alias("total"))
+    return trees.importances(trees.fit_gbt(train, features, BOOSTED), features, t.spark)
 
 
 @query
 def gbt_round_losses(t):
     train, valid, features = _holdout(t)
     model = trees.fit_gbt(train, features, BOOSTED)
-    metrics = rounds.round_metrics(model, {"train": train, "valid": valid}, features)
-    return metrics.select(
-        "round", "side", (F.col("loss").between(0, 2) & F.col("auc").between(0.5, 1)).alias("in_range"))
+    return rounds.round_metrics(model, {"train": train, "valid": valid}, features)
 
 
 @query
@@ -493,7 +502,7 @@ def gbt_refit_scores(t):
     train, valid, features = _holdout(t)
     rows = prepare.refit_rows(train, valid)
     model = trees.fit_gbt(rows, features, replace(BOOSTED, rounds=REFIT_ROUNDS))
-    return _checked(trees.score(model, t.matrix("test"), features))
+    return _scores(trees.score(model, t.matrix("test"), features))
 
 
 @query
@@ -511,32 +520,18 @@ def model_roundtrip(t):
 
 @query
 def parameter_sweep(t):
-    report = search.tune(t.matrix("train"))
-    return report.select(
-        "param", F.col("f1").between(0, 1).alias("f1_in_range"),
-        F.col("auc").between(0, 1).alias("auc_in_range"))
-
-
-def _drawn(t: Retail, baskets: DataFrame, test: DataFrame) -> DataFrame:
-    """One row per basket: its order, and whether all its products were candidates."""
-    offered = test.groupBy("order_id").agg(
-        F.collect_set(F.col("product_id").cast("string")).alias("offered"))
-    chosen = F.array_except(F.split("products", " "), F.array(F.lit("None")))
-    return baskets.join(offered, "order_id", "left").select(
-        "order_id", (F.size(F.array_except(chosen, F.coalesce("offered", F.array()))) == 0)
-        .alias("from_candidates"))
+    """Mean F1 and AUC over the folds for each penalty on leaf values."""
+    return search.tune(t.matrix("train"))
 
 
 @query
 def fixed_threshold_submission(t):
-    test = materialise(t.matrix("test"), "matrix")
-    return _drawn(t, search.single_submission(t.matrix("train"), test, BOOSTED), test)
+    return search.single_submission(t.matrix("train"), materialise(t.matrix("test"), "matrix"), BOOSTED)
 
 
 @query
 def vote_submission(t):
-    test = materialise(t.matrix("test"), "matrix")
-    return _drawn(t, search.vote_submission(t.matrix("train"), test, BOOSTED), test)
+    return search.vote_submission(t.matrix("train"), materialise(t.matrix("test"), "matrix"), BOOSTED)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

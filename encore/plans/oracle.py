@@ -426,9 +426,42 @@ def _reorders(name: str) -> str:
     return f", count(*) FILTER (WHERE reordered = 1) AS {name}"
 
 
+def _bracketed(name: str, low: float, high: float, tolerance: float, points: int = 41, most: int = 6) -> str:
+    """The bracketed threshold search as one chain of passes; the first pass may widen the bracket."""
+    passes = [f"p0 AS (SELECT CAST({low} AS DOUBLE) AS low, CAST({high} AS DOUBLE) AS high, false AS done, "
+              "NULL::DOUBLE AS threshold, NULL::DOUBLE AS mean_f1, 0 AS passes)"]
+    for n in range(1, most + 1):
+        widen = f"AND place NOT IN (0, {points - 1})" if n == 1 else ""
+        edges = (f"CASE WHEN place = 0 THEN 0.0 ELSE cuts[greatest(place, 1)] END AS low, "
+                 f"CASE WHEN place = {points - 1} THEN 1.0 ELSE cuts[least(place + 2, {points})] END AS high"
+                 ) if n == 1 else f"cuts[greatest(place, 1)] AS low, cuts[least(place + 2, {points})] AS high"
+        passes.append(f"""p{n} AS (
+            SELECT * FROM p{n - 1} WHERE done
+            UNION ALL
+            SELECT {edges}, cuts[2] - cuts[1] <= {tolerance} * (1 + 1e-6) {widen} AS done,
+                   cuts[place + 1] AS threshold, mean_f1, {n} AS passes
+            FROM (
+                SELECT list(t ORDER BY i) AS cuts, max(mean_f1) AS mean_f1,
+                       CAST(arg_min(i, struct_pack(a := -mean_f1, b := i)) AS INTEGER) AS place
+                FROM (
+                    SELECT i, t, round(avg(f1), 9) AS mean_f1 FROM (
+                        SELECT c.i, c.t, s.user_id,
+                               CAST(2 * count(*) FILTER (WHERE label = 1 AND pred_prob > c.t) AS DOUBLE)
+                               / greatest(1, count(*) FILTER (WHERE label = 1)
+                                             + count(*) FILTER (WHERE pred_prob > c.t)) AS f1
+                        FROM scored s, (
+                            SELECT i, round(low + (high - low) * i / {points - 1}, 12) AS t
+                            FROM p{n - 1}, range({points}) AS r(i) WHERE NOT done) c
+                        GROUP BY ALL)
+                    GROUP BY ALL)
+                HAVING count(*) > 0))""")
+    return (f"SELECT * FROM (WITH {', '.join(passes)} "
+            f"SELECT '{name}' AS bracket, threshold, mean_f1, CAST(passes AS INTEGER) AS passes FROM p{most})")
+
+
 def _bodies() -> dict[str, str]:
-    from encore.config import ALL_FEATURES, HOLDOUT_DROPPED, KEYS, GbtParams, SearchSpace
-    from encore.plans.catalog import SCALED
+    from encore.config import HOLDOUT_DROPPED, KEYS
+    from encore.plans.catalog import BRACKETS, SCALED
 
     dropped = ", ".join(HOLDOUT_DROPPED)
     scaled = ", ".join(
@@ -449,9 +482,6 @@ def _bodies() -> dict[str, str]:
         SELECT seed, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives
         FROM {source} GROUP BY seed"""
     debug_sample = f"SELECT * FROM train_matrix ORDER BY {keys} LIMIT 10000"
-    holdout_rows = f"SELECT {keys}, label, true AS in_range FROM train_matrix WHERE seed = 3"
-    baskets = "SELECT DISTINCT order_id, true AS from_candidates FROM test_matrix"
-    holdout_features = ", ".join(f"('{f}')" for f in ALL_FEATURES if f not in HOLDOUT_DROPPED)
     return {
         "canonical_orders": orders,
         "canonical_order_products": "SELECT * FROM prior_lines",
@@ -583,6 +613,8 @@ def _bodies() -> dict[str, str]:
         "best_threshold": """
             SELECT threshold, round(mean_f1, 9) AS mean_f1 FROM sweep
             ORDER BY round(mean_f1, 9) DESC, threshold LIMIT 1""",
+        "threshold_search": "\nUNION ALL ".join(
+            _bracketed(name, *bracket, tolerance) for name, bracket, tolerance in BRACKETS),
         "best_threshold_exact": """
             SELECT threshold, round(mean_f1, 9) AS mean_f1 FROM (
                 SELECT threshold, avg(f1) AS mean_f1 FROM (
@@ -611,27 +643,9 @@ def _bodies() -> dict[str, str]:
             source="(SELECT *, CAST(votes > 3 AS INTEGER) AS pred FROM votes)"
         ),
         "submission": submission.format(source="test_scored"),
-        "gbt_scores": holdout_rows,
-        "gbt_scores_without_validation": holdout_rows,
-        "forest_scores": holdout_rows,
-        "feature_importance": f"""
-            SELECT feature, true AS in_range, CAST(1 AS DOUBLE) AS total
-            FROM (VALUES {holdout_features}) AS f(feature), (SELECT DISTINCT 1 FROM train_matrix)""",
-        "gbt_round_losses": f"""
-            SELECT CAST(r AS INTEGER) AS round, side, true AS in_range
-            FROM range(1, {GbtParams().rounds + 1}) AS n(r),
-                 (SELECT DISTINCT CASE WHEN seed < 2 THEN 'train' ELSE 'valid' END AS side
-                  FROM train_matrix WHERE seed < 2 OR seed = 3)""",
-        "gbt_refit_scores": f"SELECT {keys}, true AS in_range FROM test_matrix",
         "model_roundtrip": """
             SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM train_matrix
             WHERE seed = 3""",
-        "parameter_sweep": f"""
-            SELECT CAST(param AS DOUBLE) AS param, true AS f1_in_range, true AS auc_in_range
-            FROM (VALUES {', '.join(f'({v})' for v in SearchSpace().values)}) AS f(param),
-                 (SELECT DISTINCT 1 FROM train_matrix)""",
-        "fixed_threshold_submission": baskets,
-        "vote_submission": baskets,
     }
 
 

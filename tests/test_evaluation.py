@@ -147,3 +147,36 @@ def test_submission_file(spark, tmp_path):
     path = files.write_submission(df, str(tmp_path))
     assert path.startswith(f"{tmp_path}/result_")
     assert rows(files.read_csv(spark, path, schemas.SUBMISSION), "order_id") == rows(df, "order_id")
+
+
+def searched(data, low, high, tolerance, points):
+    """The bracketed search in plain Python: (threshold, mean F1, passes)."""
+    passes, start = 0, True
+    while True:
+        cuts = [round(low + (high - low) * i / (points - 1), 12) for i in range(points)]
+        means = [round(mean_f1(data, t), 9) for t in cuts]
+        passes += 1
+        at = means.index(max(means))
+        best = (cuts[at], means[at], passes)
+        low, high = cuts[max(at - 1, 0)], cuts[min(at + 1, points - 1)]
+        if start and at in (0, points - 1):
+            low, high = (0.0, high) if at == 0 else (low, 1.0)
+        elif cuts[1] - cuts[0] <= tolerance * (1 + 1e-6):
+            return best
+        start = False
+
+
+@pytest.mark.parametrize("low,high,tolerance", [(0.15, 0.2, 1e-2), (0.15, 0.25, 1e-5), (0.7, 0.9, 1e-3)])
+def test_threshold_search(spark, low, high, tolerance):
+    groups = {g: scored_rows(g, scores=None if g else [0.1, 0.17, 0.2, 0.6]) for g in range(4)}
+    df = spark.createDataFrame(
+        [(*row, g) for g, data in groups.items() for row in data], SCORED + ", g int")
+    found = thresholds.threshold_search(df, low, high, tolerance, by=["g"]).collect()
+    assert len(found) == len(groups)
+    for r in found:
+        assert (r["threshold"], r["mean_f1"], r["passes"]) == searched(
+            groups[r["g"]], low, high, tolerance, thresholds.POINTS)
+        assert r["passes"] <= 5
+    one = thresholds.threshold_search(df.filter("g = 1"), low, high, tolerance).first()
+    assert tuple(one) == searched(groups[1], low, high, tolerance, thresholds.POINTS)
+    assert thresholds.threshold_search(df.limit(0), low, high, tolerance).count() == 0
