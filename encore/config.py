@@ -116,6 +116,7 @@ class GbtParams:
     step: float = 0.1
     min_improvement: float = 0.001
     patience: int = 20  # rounds without a gain in AUC
+    first_rounds: int = 50  # fitted before all of them, in case patience runs out within these
     max_bins: int = 256
     seed: int = 7
 

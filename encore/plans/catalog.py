@@ -25,7 +25,7 @@ from encore.config import (
     ForestParams,
     GbtParams,
 )
-from encore.models import rounds, search, trees
+from encore.models import rounds, search, text, trees, voting
 from encore.operators import (
     baseline,
     candidates,
@@ -277,6 +277,25 @@ def submission_csv_roundtrip(t):
     return files.read_csv(t.spark, path, schemas.SUBMISSION)
 
 
+@query
+def submission_file_roundtrip(t):
+    baskets = submission.submission(scoring.thresholded(t.test_scored, DECISION_THRESHOLD))
+    path = files.write_submission_file(baskets, scratch(t.spark, "submission"))
+    return files.read_csv(t.spark, path, schemas.SUBMISSION)
+
+
+@query
+def dataset_replaced_key(t):
+    """Keys of both matrices after the training one was replaced by its holdout rows."""
+    path = scratch(t.spark, "dataset")
+    train = materialise(t.matrix("train"), "matrix")
+    files.write_dataset(train, t.matrix("test"), path)
+    files.replace_split(train.filter("seed < 2"), path, "train")
+    parts = [files.read_dataset(t.spark, path, split).select(F.lit(split).alias("split"), *KEYS)
+             for split in ("train", "test")]
+    return parts[0].unionByName(parts[1])
+
+
 # Candidates and history.
 register("user_order_products",
          lambda t: candidates.user_order_products(t.prior_lines, t.orders))
@@ -531,7 +550,31 @@ def fixed_threshold_submission(t):
 
 @query
 def vote_submission(t):
-    return search.vote_submission(t.matrix("train"), materialise(t.matrix("test"), "matrix"), BOOSTED)
+    return voting.vote_submission(t.matrix("train"), t.matrix("test"), BOOSTED)
+
+
+@query
+def vote_first_fold_users(t):
+    """Metrics of the validation users of the vote's first fold."""
+    return voting.VoteRun(t.matrix("train"), params=BOOSTED).users(0)
+
+
+@query
+def vote_first_fold_records(t):
+    return voting.VoteRun(t.matrix("train"), params=BOOSTED).records(0)
+
+
+@query
+def model_text_roundtrip(t):
+    """Rows that score otherwise from the model's text than from the model: none."""
+    train, valid, features = _holdout(t)
+    path = scratch(t.spark, "model-text")
+    model = trees.fit_gbt(train, features, BOOSTED, valid)
+    text.write_text(text.tree_table(model, features), path)
+    table = text.read_text(t.spark, path)
+    both = text.with_text_score(table, trees.score(model, valid, features), "again")
+    same = F.abs(F.col("again") - F.col("pred_prob")) < 1e-9
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~same | same.isNull()).alias("changed"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

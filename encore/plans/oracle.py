@@ -499,6 +499,10 @@ def _bodies() -> dict[str, str]:
             FROM train_matrix
             UNION ALL BY NAME SELECT *, 'test' AS split FROM test_matrix""",
         "submission_csv_roundtrip": submission.format(source="test_scored"),
+        "submission_file_roundtrip": submission.format(source="test_scored"),
+        "dataset_replaced_key": f"""
+            SELECT 'train' AS split, {keys} FROM train_matrix WHERE seed < 2
+            UNION ALL SELECT 'test', {keys} FROM test_matrix""",
         "user_order_products": "SELECT order_id, user_id, product_id FROM h",
         "user_products": "SELECT DISTINCT user_id, product_id FROM h",
         "train_candidates": train_candidates,
@@ -643,9 +647,9 @@ def _bodies() -> dict[str, str]:
             source="(SELECT *, CAST(votes > 3 AS INTEGER) AS pred FROM votes)"
         ),
         "submission": submission.format(source="test_scored"),
-        "model_roundtrip": """
+        **dict.fromkeys(("model_roundtrip", "model_text_roundtrip"), """
             SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM train_matrix
-            WHERE seed = 3""",
+            WHERE seed = 3"""),
     }
 
 

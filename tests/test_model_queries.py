@@ -65,6 +65,19 @@ def test_sweep(retail):
     assert len({r["auc"] for r in rows}) > 1
 
 
+def test_text_roundtrip(retail):
+    row = run(retail, "model_text_roundtrip").first()
+    assert row["rows"] > 0 and row["changed"] == 0
+
+
+def test_first_fold(retail):
+    users, records = run(retail, "vote_first_fold_users"), run(retail, "vote_first_fold_records")
+    valid = retail.matrix("train").filter("seed = 0")
+    assert records.count() == valid.count() == records.join(valid.select(*KEYS), KEYS).count()
+    assert users.count() == valid.select("user_id").distinct().count()
+    assert records.filter("pred = 1").count() > 0 and users.filter("f1 > 0").count() > 0
+
+
 def test_baskets(retail):
     test = retail.matrix("test").cache()
     for name in ("fixed_threshold_submission", "vote_submission"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from encore.config import ALL_FEATURES, GbtParams, SearchSpace
 from encore.functions.columns import fold_of
-from encore.models import rounds, search, trees
+from encore.models import ablation, rounds, search, trees, voting
 from encore.operators import prepare, scoring
 from encore.operators.thresholds import best_threshold_exact
 from encore.session import materialise
@@ -93,33 +93,79 @@ def test_folds_must_fit_the_matrix(matrix):
         list(prepare.kfold(matrix, folds=2))
 
 
-def test_sweep_and_ablation_reports(matrix):
+def test_sweep_of_a_parameter(matrix):
     matrix = matrix.withColumn("seed", fold_of(F.col("user_id"), 2))
     swept = search.tune(matrix, SearchSpace("step", (0.1, 0.3)), SMALL, FEATURES, folds=2)
     assert [r["param"] for r in swept.collect()] == [0.1, 0.3]
     assert swept.filter(F.col("f1").between(0, 1) & F.col("auc").between(0, 1)).count() == 2
-    report = search.ablate(matrix, ["aisle_id"], SMALL, FEATURES, folds=2).collect()
-    assert [r["feature"] for r in report] == ["Baseline", "aisle_id"]
 
 
-def test_every_test_order_gets_a_basket(retail, matrix):
-    test = retail.matrix("test")
-    orders = test.select("order_id").distinct().count()
-    assert search.single_submission(matrix, test, SMALL, FEATURES).count() == orders
-
-    voted = {r["order_id"]: r["products"] for r in search.vote_submission(
-        matrix, test, SMALL, FEATURES).collect()}
+def test_ablation_goes_on_where_it_stopped(spark, matrix, tmp_path, monkeypatch):
+    matrix = matrix.withColumn("seed", fold_of(F.col("user_id"), 2))
+    ledger, fitted = str(tmp_path / "ledger"), []
+    put = ablation.hadoop.put
+
+    def dies(session, path, text):
+        if len(fitted) == 3:
+            raise KeyboardInterrupt  # the driver is lost before this trial is in the ledger
+        fitted.append(path)
+        put(session, path, text)
+
+    def ablate():
+        return ablation.ablate(
+            matrix, ["aisle_id", "prod_hour_prob"], SMALL, FEATURES, folds=2, ledger=ledger, parallel=1)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(ablation.hadoop, "put", dies)
+        with pytest.raises(KeyboardInterrupt):
+            ablate()
+    assert ablation.trials(spark, ledger, "ablation").count() == 3
+    fits = []
+    whole = ablation.fit_without
+    monkeypatch.setattr(ablation, "fit_without", lambda *a: fits.append(a[1]) or whole(*a))
+    report = {r["feature"]: r["auc"] for r in ablate().collect()}
+    assert list(report) == ["Baseline", "aisle_id", "prod_hour_prob"] and len(fits) == 3
+    assert report == {r["feature"]: r["auc"] for r in ablate().collect()} and len(fits) == 3
+    # Without a feature, by slicing the vector, is a fit on the other features.
+    names = [name for name in FEATURES if name != "aisle_id"]
+    aucs = []
+    for _, train, valid in prepare.kfold(matrix, 2):
+        model, _ = rounds.fit_with_patience(train, names, valid, SMALL, sides=["valid"])
+        aucs.append(scoring.roc_auc(trees.score(model, valid, names)).first()["auc"])
+    assert report["aisle_id"] == pytest.approx(sum(aucs) / 2, abs=0.02)
+
+
+def test_vote_run_goes_on_where_it_stopped(spark, retail, matrix, tmp_path, monkeypatch):
+    test, folder = retail.matrix("test"), str(tmp_path / "run")
+    first = voting.VoteRun(matrix, folder, SMALL, FEATURES)
+    first.fold(0), first.fold(3)
+    fits = []
+    fit = voting.fit_with_patience
+    monkeypatch.setattr(voting, "fit_with_patience", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    run = voting.VoteRun(matrix, folder, SMALL, FEATURES)
+    assert [r["name"][0] for r in run.all_folds()] == list("01234") and len(fits) == 3
+    baskets = {r["order_id"]: r["products"] for r in run.baskets(test).collect()}
+    orders = {r["order_id"] for r in test.select("order_id").distinct().collect()}
+    assert baskets.keys() == orders and any(p != "None" for p in baskets.values())
     votes = Counter()
-    for _, model, scored in search.fold_scores(matrix, FEATURES, SMALL):
-        least = best_threshold_exact(scored).first()["threshold"]
-        for r in trees.score(model, test, FEATURES).filter(F.col("pred_prob") > least).collect():
+    for fold in range(5):
+        least = run.fold(fold)["threshold"]
+        assert best_threshold_exact(run.scored(fold)).first()["threshold"] == least
+        for r in trees.score(run.model(fold), test, FEATURES).filter(F.col("pred_prob") > least).collect():
             votes[r["order_id"], r["product_id"]] += 1
-    wanted = {r["order_id"]: [] for r in test.select("order_id").distinct().collect()}
+    wanted = {order: [] for order in orders}
     for (order, product), count in sorted(votes.items()):
         if count > 3:
             wanted[order].append(str(product))
-    assert voted == {order: " ".join(p) or "None" for order, p in wanted.items()}
-    assert any(products != "None" for products in voted.values())
+    assert baskets == {order: " ".join(p) or "None" for order, p in wanted.items()}
+    paths = run.write_outputs(test)
+    lines = open(paths["baskets"]).read().splitlines()
+    assert len(lines) == len(orders) + 1 and len(fits) == 3
+    valid = matrix.filter("seed = 0")
+    assert run.users().count() == valid.select("user_id").distinct().count()
+    assert spark.read.option("sep", "\t").option("header", True).csv(paths["records"]).count() == valid.count()
+    assert spark.read.option("sep", "\t").option("header", True).csv(paths["model"]).count() > 3
+    assert search.single_submission(matrix, test, SMALL, FEATURES).count() == len(orders)
 
 
 def test_many_categories_get_bins(matrix):
