@@ -209,8 +209,8 @@ BLOCKS = ("block int, last boolean, codes binary, "
 class Conversation:
     """What is known of a conversation while its rows go by."""
 
-    def __init__(self, conv):
-        self.conv, self.codes, self.block = conv, bytearray(), 0
+    def __init__(self, conv, size: int):
+        self.conv, self.codes, self.block, self.size = conv, bytearray(), 0, size
         self.low = self.high = self.before = None
         self.turns = self.blank = self.duplicate = self.truncated = self.illegal = 0
 
@@ -239,9 +239,9 @@ class Conversation:
 
     def full(self) -> Iterator[tuple]:
         """Blocks that have all their rows; the last one stays open."""
-        while len(self.codes) > BLOCK:
-            yield (self.conv, self.block, False, bytes(self.codes[:BLOCK]), *[None] * len(COUNTS))
-            del self.codes[:BLOCK]
+        while len(self.codes) > self.size:
+            yield (self.conv, self.block, False, bytes(self.codes[:self.size]), *[None] * len(COUNTS))
+            del self.codes[:self.size]
             self.block += 1
 
     def close(self) -> tuple:
@@ -269,8 +269,8 @@ def _batches(found: Iterator[tuple], schema: pa.Schema, most: int = 1 << 24) ->
         yield batch()
 
 
-def blocks_of(facts: DataFrame) -> DataFrame:
-    """(conv, block, last, codes, counts): conversations cut into blocks, counts with the last one."""
+def blocks_of(facts: DataFrame, size: int) -> DataFrame:
+    """(conv, block, last, codes, counts): blocks of up to ``size`` rows, counts with the last one."""
     kind = facts.schema["conv"].dataType
     schema = f"conv {kind.simpleString()}, {BLOCKS}"
 
@@ -285,7 +285,7 @@ def blocks_of(facts: DataFrame) -> DataFrame:
                     if now is None or conv != now.conv:
                         if now is not None:
                             yield now.close()
-                        now = Conversation(conv)
+                        now = Conversation(conv, size)
                     yield from now.add(*facts)
             if now is not None:
                 yield now.close()
@@ -380,11 +380,11 @@ def edits(blocks: DataFrame) -> DataFrame:
 
 
 def _repaired_stream(
-    conversations: DataFrame, conv: str, turn: str, role: str, text: str,
+    conversations: DataFrame, conv: str, turn: str, role: str, text: str, block: int,
 ) -> DataFrame:
     """Rows of repaired conversations in order, each conversation followed by a row of its results."""
     rows = damaged(conversations, conv, turn, role, text)
-    blocks = materialise(blocks_of(numbered_faults(rows)), "blocks")
+    blocks = materialise(blocks_of(numbered_faults(rows), block), "blocks")
     kind = blocks.schema["conv"].dataType.simpleString()
     pieces = edits(blocks).drop("codes", "last").withColumn("weight", F.lit(0))
     texts = rows.filter("weight > 0").withColumns(_row_order()).withColumn(
@@ -461,17 +461,18 @@ def _repair(conv, own) -> Iterator[tuple]:
 
 def repaired_turns(
     conversations: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn",
-    role_column: str = "role", text_column: str = "text",
+    role_column: str = "role", text_column: str = "text", block: int = BLOCK,
 ) -> DataFrame:
     """The repaired conversations: conversation id, ``at`` (from 0), ``edit`` (K, R or I), role, text."""
-    found = _repaired_stream(conversations, conv_column, turn_column, role_column, text_column)
+    found = _repaired_stream(
+        conversations, conv_column, turn_column, role_column, text_column, block)
     return found.filter("at is not null").select(
         F.col("conv").alias(conv_column), "at", "edit", "role", "text")
 
 
 def repair_report(
     conversations: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn",
-    role_column: str = "role", text_column: str = "text",
+    role_column: str = "role", text_column: str = "text", block: int = BLOCK,
 ) -> DataFrame:
     """One row per conversation: counts of its faults after damage, the repair's cost and edits, and
     the SHA-256 of the repaired rows (``role:text`` by newlines).
@@ -481,9 +482,10 @@ def repair_report(
     id a conversation of its own. Equal rows are told by SHA-256; from the second on they are
     duplicates. A conversation that loses all rows has zeros, no edits and the hash of nothing; an
     empty table gives no rows; other columns are not read. The hash needs a conversation's texts in
-    order, so they pass through one task, row by row.
+    order, so they pass through one task, row by row. ``block`` rows are solved at once.
     """
-    found = _repaired_stream(conversations, conv_column, turn_column, role_column, text_column)
+    found = _repaired_stream(
+        conversations, conv_column, turn_column, role_column, text_column, block)
     kind = found.schema["conv"].dataType.simpleString()
     counts = [(name, pa.int64()) for name in (*COUNTS, "cost")]
 

@@ -64,13 +64,28 @@ def test_odd_rows(spark):
     assert hard_negatives.hard_negatives(clash).count() == len(plain(rows))
 
 
-def test_shards_and_depths_give_the_same(spark, monkeypatch):
+def test_shards_give_the_same(spark, monkeypatch):
     draw = np.random.default_rng(2)
     rows = [(i, (draw.standard_normal(6) / 3).tolist(), int(draw.integers(0, 4))) for i in range(500)]
-    for size, depth in ((37, 1), (1000, 4)):
-        monkeypatch.setattr(hard_negatives, "SHARD_ROWS", size)
-        monkeypatch.setattr(hard_negatives, "FIRST_DEPTH", depth)
-        assert compare(spark, rows)
+    monkeypatch.setattr(hard_negatives, "SHARD_ROWS", 37)
+    assert compare(spark, rows)
+
+
+@pytest.mark.parametrize("depth", [1, 3, 32])
+def test_any_depth_gives_the_same(monkeypatch, depth):
+    monkeypatch.setattr(hard_negatives, "FIRST_DEPTH", depth)
+    draw = np.random.default_rng(depth)
+    for _ in range(60):
+        vectors = draw.integers(-4, 5, (draw.integers(1, 90), draw.integers(1, 7)))
+        ids = draw.permutation(len(vectors))
+        shard = hard_negatives.Shard(ids, np.arange(len(ids)), np.zeros(len(ids), int), vectors)
+        anchor, allowed = draw.integers(-4, 5, vectors.shape[1]), draw.random(len(ids)) < 0.7
+        windows = [(None, None), (3, 20), (-10, 2), (50, 40)]
+        every = vectors @ anchor
+        for best, (least, most) in zip(shard.search(anchor, allowed, windows, 3), windows, strict=True):
+            inside = [(int(s), r) for r, s in enumerate(every) if allowed[r] and (
+                least is None or least <= s <= most)]
+            assert best == sorted(inside, key=lambda x: (-x[0], ids[x[1]]))[:3]
 
 
 def test_reading_stops_early():
