@@ -54,7 +54,7 @@ def canonical(spark: SparkSession, sf_dir: str) -> Retail:
 def fresh(tables: Retail) -> Retail:
     """The stored tables without anything derived from them."""
     copy = object.__new__(Retail)
-    kept = ("spark", "store", "star", *STORED)
+    kept = ("spark", "store", "star", "layer", *STORED)
     copy.__dict__.update({name: tables.__dict__[name] for name in kept})
     return copy
 

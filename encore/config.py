@@ -126,6 +126,7 @@ class ForestParams:
     """Random forest with row and feature subsampling."""
 
     trees: int = 200
+    l1: float = 0.03125  # of the leaves fitted by ``refit.forest_l1``
     depth: int = 11
     min_rows: int = 20
     feature_fraction: float = 0.5

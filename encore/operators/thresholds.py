@@ -161,9 +161,7 @@ def best_threshold_exact(scored: DataFrame) -> DataFrame:
     maximum of the running sum is the best mean. As a prediction is *strictly* above the
     threshold, the threshold is the next lower score (or 1 below the lowest one).
     """
-    per_score = scored.groupBy("user_id", "pred_prob").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count(F.lit(1)).alias("rows")
-    )
+    per_score = materialise(score_steps(scored), "score-steps")  # read by both branches below
     running = running_sums(
         per_score,
         keys=["user_id"],

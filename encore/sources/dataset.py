@@ -69,6 +69,5 @@ def forget_earlier(spark: SparkSession, path: str) -> list[str]:
     earlier = [f"{MANIFESTS}/{n}" for n in hadoop.names(spark, f"{path}/{MANIFESTS}")
                if n.endswith(".json") and n != f"{number:09d}.json"]
     for name in [*gone, *earlier]:
-        fs, place = hadoop._at(spark, f"{path}/{name}")
-        fs.delete(place, True)
+        hadoop.remove(spark, f"{path}/{name}")
     return gone

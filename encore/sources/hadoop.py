@@ -24,6 +24,20 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
 
+def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, size, time) of a file, or of the files in a folder; empty if there is none."""
+    fs, place = _at(spark, path)
+    if not fs.exists(place):
+        return ()
+    return tuple(sorted(
+        (s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(place)))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _at(spark, path)
+    fs.delete(place, True)
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename; an existing target is an error and stays as it is."""
     fs, place = _at(spark, target)

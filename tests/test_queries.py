@@ -25,7 +25,7 @@ def derived(retail):
 
 # Results of models, which SQL does not have; test_model_queries.py has their properties.
 MODELS = {
-    "gbt_scores", "gbt_scores_without_validation", "forest_scores", "feature_importance",
+    "gbt_scores", "gbt_scores_without_validation", "forest_scores", "forest_l1_scores", "feature_importance",
     "gbt_round_losses", "gbt_refit_scores", "parameter_sweep", "fixed_threshold_submission",
     "vote_submission", "vote_first_fold_users", "vote_first_fold_records",
 }
@@ -73,3 +73,24 @@ def test_shares_add_up(retail):
     ]:
         sums = catalog.QUERIES[name](retail).groupBy(key).agg(F.sum(share).alias("s"))
         assert sums.filter(F.abs(F.col("s") - 1) > 1e-9).isEmpty()
+
+
+def test_queries_of_a_session_share_stored_tables(spark, tmp_path):
+    import shutil
+
+    source = tmp_path / "sf"
+    shutil.copytree(SF_DIR, source)
+    run = catalog.queries()
+    before = len(catalog.LAYERS)
+    first = run["user_features"](spark, str(source)).count()
+    layer = catalog.layer_of(spark, str(source))
+    stored = dict(layer)
+    assert stored and len(catalog.LAYERS) == before + 1
+    assert run["product_features"](spark, str(source)).count() > 0
+    assert {name: layer[name] for name in stored} == stored
+    # Other files, other tables; and stored tables that were removed are made again.
+    for path in stored.values():
+        shutil.rmtree(path.removeprefix("file:"))
+    assert run["user_features"](spark, str(source)).count() == first
+    shutil.copy(f"{SF_DIR}/part.parquet", source / "part.parquet")
+    assert catalog.layer_of(spark, str(source)) == {}
