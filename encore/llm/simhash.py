@@ -207,16 +207,17 @@ def keep_first(
         F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
                  row_hash.alias("hash")).alias("key"), F.col(text_column).alias("text"))
     found = near_duplicates(keyed, threshold, "key", "text")
-    first_id, first_hash = unused(docs, "first_id"), unused(docs, "first_hash")
-    firsts = compact(
-        found.groupBy("component_id").agg(
-            F.count_if(F.col("key") == F.col("component_id")).alias("first_rows")).select(
-            F.col("component_id.id").alias(first_id), F.col("component_id.hash").alias(first_hash),
-            "first_rows"), "print-firsts")
-    same = F.col(id_column).eqNullSafe(F.col(first_id)) & (row_hash == F.col(first_hash))
-    single = docs.join(firsts.filter("first_rows = 1").drop("first_rows"), same, "left_semi")
-    repeated = firsts.filter("first_rows > 1").drop("first_rows")
-    if repeated.isEmpty():  # then no row's text is shuffled
+    gone_id, gone_hash = unused(docs, "gone_id"), unused(docs, "gone_hash")
+    columns = [F.col("key.id").alias(gone_id), F.col("key.hash").alias(gone_hash)]
+    is_first = F.col("key") == F.col("component_id")
+    # Keys that go, and first keys that more than one row has: few beside the rows that stay.
+    marked = compact(
+        found.groupBy("key").agg(F.max(is_first).alias("first"), F.count("*").alias("key_rows"))
+        .filter("not first or key_rows > 1").select("first", *columns), "print-gone")
+    same = F.col(id_column).eqNullSafe(F.col(gone_id)) & (row_hash == F.col(gone_hash))
+    single = docs.join(marked.drop("first"), same, "left_anti")
+    repeated = marked.filter("first").drop("first")
+    if repeated.isEmpty():
         return single
     return single.unionByName(
         docs.join(repeated, same, "left_semi").dropDuplicates([id_column, text_column]))
