@@ -381,7 +381,7 @@ def repeated_spans(source: Keyed, n_bytes: int, length: int, gram: int) -> DataF
         runs.groupBy("hash").count().filter(F.col("count") > SHARD_RUNS).select(
             "hash", F.ceil(F.col("count") / SHARD_RUNS).alias("parts")), "repeat-often")
     salt = F.when(F.col("parts").isNull(), 0).otherwise(
-        F.pmod(F.xxhash64("doc", "content"), F.col("parts")))
+        F.pmod(F.xxhash64("doc", "content", "start"), F.col("parts")))  # also within a document
     dealt = runs.join(often, "hash", "left").select(
         "doc", "content", F.struct(
             "start", "run", F.pmod(F.xxhash64("hash", salt), F.lit(shards)).alias("shard"),

@@ -109,6 +109,30 @@ def test_stretches_that_repeat_only_in_themselves(spark, monkeypatch, bucket_byt
     assert kept == {i: expected[i, t][4].decode() for i, t in rows}
 
 
+def test_one_document_of_one_passage_is_spread(spark, monkeypatch):
+    draw = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = "".join(draw.choices(letters, k=200))
+    text = "".join(passage + "".join(draw.choices(letters, k=draw.randint(1, 9))) for _ in range(1500))
+    rows = [(1, text), (2, passage + "x"), (3, "y" + passage)]
+    bound = 100
+    whole = repeats.shard_repeats
+
+    def bounded(length):
+        def find(table):
+            if table.num_rows > 5 * bound:  # shards are hashed, so some hold more than the mean
+                raise ValueError(f"{table.num_rows} stretches in a shard")
+            return whole(length)(table)
+        return find
+
+    monkeypatch.setattr(repeats, "SHARD_RUNS", bound)
+    monkeypatch.setattr(repeats, "shard_repeats", bounded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = plain(rows, 100)
+    assert sorted(map(tuple, repeat_report(docs).collect())) == [
+        (i, *expected[i, t][:4]) for i, t in rows]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert repeat_report(docs.limit(0)).count() == 0
