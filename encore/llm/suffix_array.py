@@ -1,29 +1,39 @@
 """Suffix arrays of byte strings by induced sorting, and permuted common prefixes.
 
 Suffixes are classified as larger or smaller than their right neighbour; the leftmost of each run of
-smaller ones split the text into substrings. These are sorted by one induction, named, and the string
-of names is sorted; a second induction from the sorted leftmost-smaller suffixes gives the array. Both
-inductions go through the buckets of first bytes once in each direction, and treat a bucket's
-suffixes together, so they take linear time in array operations.
+smaller ones split the text into substrings. These are sorted by one induction and named; the string
+of names is sorted alike, recursively, until no two names are equal; a second induction from the sorted
+leftmost-smaller suffixes gives the array. Each string is at most half as long as the one before.
+
+Inductions go through the buckets of first bytes, or batches of buckets of names, once in each
+direction, and treat their suffixes together in array operations.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+BATCH = 8192  # suffixes of names that are induced together, unless one name has more
+CHAIN = 8  # batches with longer chains of names that induce each other are halved
+
 
 def smaller_types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the empty suffix is the least."""
     n = len(text)
     rises = np.empty(n, np.int8)
-    rises[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1])
+    rises[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
     rises[-1] = -1
-    # Equal bytes take the type of the next unequal pair.
+    # Equal names take the type of the next unequal pair.
     at = np.where(rises != 0, np.arange(n), n - 1)
     decided = np.minimum.accumulate(at[::-1])[::-1]
     return rises[decided] > 0
 
 
+def leftmost(smaller: np.ndarray) -> np.ndarray:
+    """Positions of the smaller suffixes that follow a larger one."""
+    return np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+
+
 def deal(sa: np.ndarray, found: np.ndarray, keys: np.ndarray, edge: np.ndarray, up: bool) -> None:
     """Put suffixes, in order, at the free edge of their buckets."""
     order = np.argsort(keys, kind="stable")
@@ -110,58 +120,116 @@ def names_of(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarr
     return names
 
 
-def order_of_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names.
+def sorted_leftmost(text: np.ndarray, lms: np.ndarray, rough: np.ndarray) -> np.ndarray:
+    """The leftmost-smaller suffixes in order, from an array that is induced from them unsorted."""
+    if not len(lms):
+        return lms
+    is_lms = np.zeros(len(text), bool)
+    is_lms[lms] = True
+    return lms[order_of_names(names_of(text, lms, rough[is_lms[rough]]))]
+
 
-    Names of as many neighbours as fit in a number are sorted first; then ranks of pairs of these
-    runs, of pairs of pairs and so on, of the suffixes that are still tied.
+def side_order(
+    text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray,
+) -> np.ndarray:
+    """All suffixes in order, from sorted ``seeds``, with the ``wanted`` ones induced.
+
+    A wanted suffix is followed by a wanted one that starts with the same or a lesser name, or by a
+    seed of a lesser one; in a bucket, wanted suffixes stand before seeds. So a run of one name is
+    ordered by its length and then by what follows it. Buckets are taken in batches of ascending
+    names: names of few places share one, a frequent name has its own.
     """
-    count, base = len(names), int(names.max()) + 2
-    width, power = 1, base
-    while power * base < 2**62 and width < count:
-        width, power = width + 1, power * base
-    key = np.zeros(count, np.int64)
-    for k in range(width):
-        key *= base
-        key[:count - k] += names[k:] + 1
-    order = np.argsort(key)
-    key, slots = key[order], np.arange(count)
-    rank = np.empty(count, np.int64)
-    while True:
-        tied = order[slots]
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        group = np.flatnonzero(new)
-        rank[tied] = slots[group][np.cumsum(new) - 1]  # ranks are places, so others stay valid
-        sizes = np.diff(np.append(group, len(slots)))
-        slots = slots[np.repeat(sizes > 1, sizes)]
-        if not len(slots):
-            return order
-        tied = order[slots]
-        further = tied + width
-        key = rank[tied] * (count + 1)
-        inside = further < count
-        key[inside] += rank[further[inside]] + 1
-        by = np.argsort(key)
-        order[slots] = tied[by]
-        key = key[by]
-        width *= 2
+    n = len(text)
+    found = np.flatnonzero(wanted)
+    sizes = np.bincount(text[found], minlength=int(text.max()) + 1)
+    ends = np.cumsum(sizes)  # among the wanted ones by name
+    both = sizes + np.bincount(text[seeds], minlength=len(sizes))
+    starts = np.cumsum(both) - both  # of buckets among all slots
+    # Places among all suffixes; a wanted one's is its bucket's start until it is known. The empty
+    # suffix, the least, comes last in the array and is so also at -1.
+    place = np.full(n + 1, -1, np.int64)
+    place[found] = starts[text[found]]
+    seed_names = text[seeds]
+    order = np.argsort(seed_names, kind="stable")
+    within = np.arange(len(seeds)) - np.searchsorted(seed_names[order], seed_names[order])
+    place[seeds[order]] = (starts + sizes)[seed_names[order]] + within
+    # Where a run of wanted suffixes of one name ends, and what follows it.
+    goes_on = np.zeros(n, bool)
+    goes_on[:-1] = (text[1:] == text[:-1]) & wanted[1:] & wanted[:-1]
+    stops = np.where(goes_on, n, np.arange(n))
+    last = np.minimum.accumulate(stops[::-1])[::-1]
+    run = last[found] - found
+    by_name = np.lexsort((run, text[found]))
+    by_name, run = found[by_name], run[by_name]
+    kind = text[by_name]
+    differs = (kind[1:] != kind[:-1]) | (run[1:] != run[:-1])
+    kind = np.concatenate(([0], np.cumsum(differs)))  # ranks of name and run
+
+    def settle(low: int, high: int) -> None:
+        """Place the wanted suffixes whose names are in [low, high)."""
+        own = slice(ends[low] - sizes[low], ends[high - 1])
+        some = by_name[own]
+        after = last[some] + 1
+        steps, inside = 1, after[after < n]
+        while True:  # chains of descending names inside the batch
+            inside = inside[wanted[inside] & (text[inside] >= low)]
+            if not len(inside):
+                break
+            if steps == CHAIN:
+                middle = (low + high) // 2
+                settle(low, middle)
+                settle(middle, high)
+                return
+            inside = last[inside] + 1
+            inside = inside[inside < n]
+            steps += 1
+        name = text[some]
+        first = starts[name] - (ends - sizes)[name] + own.start
+        rank = (kind[own] - kind[own.start:own.start + 1]) * (n + 1) + 1
+        for _ in range(steps):
+            key = rank + place[after]
+            by = np.argsort(key)
+            key = key[by]
+            fresh = np.ones(len(some), bool)
+            fresh[1:] = key[1:] != key[:-1]
+            place[some[by]] = first[by] + np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+
+    names = np.flatnonzero(sizes)
+    at = 0
+    while at < len(names):
+        before = ends[names[at]] - sizes[names[at]]
+        upto = max(at + 1, int(np.searchsorted(ends[names], before + BATCH, side="right")))
+        settle(int(names[at]), int(names[upto - 1]) + 1)
+        at = upto
+    everything = np.concatenate([found, seeds])
+    return everything[np.argsort(place[everything])]
+
+
+def induce_names(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As ``induce``, of a string of many different names."""
+    order = side_order(text, ~smaller, lms)
+    larger = order[~smaller[order]]
+    # Smaller suffixes are induced alike, with names and order turned round.
+    return side_order(text.max() - text, smaller, larger[::-1])[::-1]
+
+
+def order_of_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names: its own leftmost-smaller substrings, recursively."""
+    if names.max() + 1 == len(names):
+        return np.argsort(names)  # no two are equal
+    smaller = smaller_types(names)
+    lms = leftmost(smaller)
+    return induce_names(names, smaller, sorted_leftmost(names, lms, induce_names(names, smaller, lms)))
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start positions of the suffixes of a non-empty uint8 array, in order."""
-    n = len(text)
-    smaller = smaller_types(text)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + 1
+    lms = leftmost(smaller_types(text)).astype(np.int32)
     counts = np.bincount(text, minlength=256)
     ends = np.cumsum(counts)
     starts = ends - counts
     if len(lms):
-        rough = induce(text, starts, ends, lms)
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        ordered = rough[is_lms[rough]]
-        names = names_of(text, lms, ordered)
-        lms = lms[order_of_names(names)]
+        lms = sorted_leftmost(text, lms, induce(text, starts, ends, lms))
     return induce(text, starts, ends, lms)
 
 

@@ -5,10 +5,29 @@ import numpy as np
 import pytest
 
 from encore.llm import repeats
+from encore.llm import suffix_array as suffix_array_module
 from encore.llm.repeats import LAST, remove_repeats, repeat_report
 from encore.llm.suffix_array import common_prefixes, suffix_array
 
 
+def test_names_are_sorted_recursively(monkeypatch):
+    """Against sorting all suffixes, with batches of every size and long chains of names."""
+    draw = np.random.default_rng(9)
+    for batch, chain in ((8192, 8), (4, 2), (1, 3), (16, 2)):
+        monkeypatch.setattr(suffix_array_module, "BATCH", batch)
+        monkeypatch.setattr(suffix_array_module, "CHAIN", chain)
+        for k in range(150):
+            names = draw.integers(0, draw.integers(1, 60) + 1, draw.integers(2, 120))
+            if k % 3 == 0:  # periods
+                names = np.tile(names[:max(1, len(names) // 6)], 6)
+            elif k % 3 == 1:  # long descents
+                names = np.tile(np.sort(names)[::-1], 2)
+            names = np.unique(names, return_inverse=True)[1]
+            plain = names.tolist()
+            wanted = sorted(range(len(plain)), key=lambda i: plain[i:])
+            assert suffix_array_module.order_of_names(names).tolist() == wanted
+
+
 def test_suffix_array_and_prefixes():
     draw = random.Random(7)
     for _ in range(400):
