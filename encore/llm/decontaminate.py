@@ -226,7 +226,11 @@ def remove_contaminated(
     words_per_hit: int = 20, id_column: str = "doc_id", text_column: str = "text",
     item_id_column: str = "item_id", item_text_column: str = "text",
 ) -> DataFrame:
-    """The rows whose text is not contaminated, with all their columns."""
+    """The rows whose text is not contaminated, with all their columns, whatever their names.
+
+    Null, empty and wordless texts stay, null ids are kept like others, rows of one text stay or go
+    together. An empty benchmark keeps all rows, an empty table gives none.
+    """
     columns = {"id": id_column, "text": text_column, "item_id": item_id_column,
                "item_text": item_text_column}
     base, per_text = measured(docs, benchmark, window, gram, columns)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from encore.session import materialise
 
 SHARD_DOCUMENTS = 4096  # packed by one call; a shard's size is spread closely about it
+COPIES = 65_536  # equal rows that one task numbers at a time
 
 
 class Bins:
@@ -64,7 +65,9 @@ def bitmaps(values: pd.Series) -> list[int]:
 
 def pack_shard(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Bins of one shard's pieces: (piece rows, longest first) -> bin, offset."""
-    pieces = pieces.sort_values(["size", "id", "piece"], ascending=[False, True, True], kind="stable")
+    pieces = pieces.sort_values(
+        ["size", "id", "piece", "source", "cluster"], ascending=[False, True, True, True, True],
+        kind="stable")
     bins = Bins(capacity)
     placed = [
         bins.place(size, source, cluster)
@@ -77,6 +80,20 @@ def pack_shard(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pieces
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with a ``number`` that tells equal ones apart, whatever the layout of the input.
+
+    Equal rows are counted and dealt out again, in spans that spread over tasks: no window over a
+    group of copies is needed.
+    """
+    columns = rows.columns
+    spans = rows.groupBy(*columns).agg(F.count("*").alias("copies")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES))).alias("span"))
+    first = F.col("span") * COPIES
+    return spans.repartition(*columns, "span").select(
+        *columns, F.explode(F.sequence(first, F.least(first + COPIES, "copies") - 1)).alias("number"))
+
+
 def pack(
     docs: DataFrame, size: Column, cluster: Column, capacity: int = 2048, id_column: str = "doc_id",
     source_column: str = "source", shard_documents: int = SHARD_DOCUMENTS,
@@ -87,17 +104,17 @@ def pack(
     first token within the document. A bin holds no two pieces of one source or of one cluster; a
     piece that fills its bin meets nothing. A null source or cluster conflicts with nothing.
     Documents of null or no size take no room: one row with null bin and offset. Null ids are
-    packed like others, repeated rows each on their own, other columns are not read.
+    packed like others, repeated rows each on their own, other columns are not read. Bins do not
+    depend on the order or the files of the rows.
     """
     sized = materialise(
-        docs.select(
+        numbered(docs.select(
             F.col(id_column).alias("id"), F.col(source_column).alias("source"),
             cluster.alias("cluster"), F.coalesce(size, F.lit(0)).cast("int").alias("total"),
-        ), "pack-sizes",
+        )), "pack-sizes",
     )
     shards = max(1, -(-sized.count() // shard_documents))
-    # Repeated ids still spread: the rest of the row and its place in the input go in.
-    place = F.xxhash64("id", "cluster", F.monotonically_increasing_id())
+    place = F.xxhash64("id", "source", "cluster", "total", "number")
     whole = F.floor(F.col("total") / capacity).cast("int")
     pieces = sized.select(
         "*", F.pmod(place, F.lit(shards)).alias("shard"),

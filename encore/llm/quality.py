@@ -299,7 +299,12 @@ def keep_good(
     docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """The rows that score at least ``threshold``, with all their columns."""
+    """The rows that score at least ``threshold``, with all their columns, whatever their names.
+
+    Null and empty texts score as a document without tokens, null ids are scored like others,
+    repeated rows stay or go together. An empty table gives no rows; without labels of both classes
+    all rows have one score.
+    """
     scores = shared_scores(docs, labels, id_column, text_column)
     at = docs.columns.index(text_column)
 

@@ -50,6 +50,17 @@ def test_odd_rows(spark, operator):
     assert len({r.score for r in operator(docs, labels.limit(0)).collect()}) == 1
 
 
+@pytest.mark.parametrize("operator", [toxicity.toxicity, quality.quality])
+def test_scores_do_not_depend_on_the_layout(spark, operator):
+    small = "/root/testdata/sf0.001"
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    one, other = (
+        {r.doc_id: r.score for r in operator(d, labels).collect()}
+        for d in (docs, docs.repartition(5, F.xxhash64("text"))))
+    assert one.keys() == other.keys()
+    assert all(other[i] == pytest.approx(score, abs=1e-6) for i, score in one.items())
+
+
 def test_sample_is_bounded_and_leaves_the_held_out_fold(spark):
     docs, labels = table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "labels")
     sample = labelled_sample(docs.select("doc_id", F.col("doc_id").cast("string").alias("text")),

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from encore.llm import packing
 from encore.llm.packing import Bins, copy_cluster, pack, token_estimate
 
 
@@ -62,6 +63,20 @@ def test_whole_table(spark):
     assert pack(docs.limit(0), F.col("n"), F.col("dup")).count() == 0
 
 
+def test_bins_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 7)
+    draw = random.Random(6)
+    rows = [(draw.choice([None, 1, 2, i]), draw.choice(["a", "b", None]), draw.randint(0, 250),
+             draw.choice([None, 1, i])) for i in range(300)] + [(None, "a", 20, 9)] * 200
+    kinds = "doc_id long, source string, n int, dup long"
+    found = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(draw.sample(rows, len(rows)), kinds).repartition(parts)
+        found.append(sorted(map(str, pack(docs, F.col("n"), F.col("dup"), 100,
+                                          shard_documents=120).collect())))
+    assert found[0] == found[1]
+
+
 def test_sizes_and_clusters(spark):
     docs = spark.createDataFrame(
         [(1, "Ab c"), (2, "aB\nC "), (3, None), (4, " ")], "doc_id long, text string")

@@ -1,6 +1,7 @@
 import __spark_entry__
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_decontaminate import plain as plain_contamination
 from test_repeats import plain as plain_repeats
 from test_simhash import plain_components, plain_fingerprint
@@ -81,3 +82,50 @@ def test_first_of_each_component(spark):
     assert found == sorted(
         [(3, "a b c d"), (None, "only here and nowhere else"), (9, None)], key=str)
     assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def odd_documents(spark):
+    """Documents with every odd row, and columns named like those that the stages make."""
+    docs = table(spark, SF_DIR, "documents").limit(60)
+    schema = docs.schema
+    passage = " ".join(f"word{k}" for k in range(60))
+    item = table(spark, SF_DIR, "benchmark").filter("length(text) > 200").first().text
+    texts = [(None, None), (7_000_001, None), (7_000_002, ""), (7_000_003, " \t\n"), (None, "no id here"),
+             (7_000_004, "long " * 60_000), (7_000_005, f"first {passage}"),
+             (7_000_006, f"second one {passage} goes on"), (7_000_007, item), (None, item)]
+    rows = [tuple(i if f.name == "doc_id" else t if f.name == "text" else None for f in schema)
+            for i, t in [*texts, *texts[:4], texts[5]]]
+    docs = docs.unionByName(spark.createDataFrame(rows, schema))
+    clashes = ["id", "doc", "content", "digest", "kept", "row", "key", "score", "label", "fingerprint",
+               "component", "bin_id", "cluster", "size", "total", "number", "n_bytes", "spans"]
+    return docs.select("*", *[F.lit(k).alias(name) for k, name in enumerate(clashes)])
+
+
+def test_odd_rows_through_every_stage(spark):
+    docs = corpus_pipeline.materialise(odd_documents(spark), "odd")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, SF_DIR), f"odd-{name}")
+        kept[name] = docs.collect()
+        assert all(r.n_bytes == 16 and r["id"] == 0 for r in kept[name])
+    near = [r.doc_id for r in kept["near_dedup"]]
+    assert len(near) == len(set(near)) + near.count(None) - (None in near)
+    # Texts without words link like any other: one of all of them stays.
+    assert sum(not (r.text or "").strip() for r in kept["near_dedup"]) == 1
+    cut = texts(kept["repeats"])
+    assert "word59" in cut[7_000_005] and "word30" not in cut[7_000_006]
+    assert "second one" in cut[7_000_006] and "goes on" in cut[7_000_006]
+    assert len(cut[7_000_004]) < 200 and 7_000_007 not in texts(kept["decontaminate"])
+    packed = corpus_pipeline.pack(spark, docs, SF_DIR).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in kept["decontaminate"]}
+    good = corpus_pipeline.keep_good(spark, odd_documents(spark), SF_DIR)
+    assert good.columns == docs.columns and good.filter("n_bytes <> 16").isEmpty()
+
+
+def test_empty_documents_through_every_stage(spark):
+    docs = table(spark, SF_DIR, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, SF_DIR)
+        assert found.isEmpty()
+        if name != "pack":
+            assert found.columns == docs.columns
