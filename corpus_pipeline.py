@@ -8,7 +8,13 @@ Every stage takes (spark, docs, sf_dir) and works on all that the stage before i
 4. ``decontaminate``: documents with a benchmark passage go;
 5. ``pack``: what is left becomes sequences.
 
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``, further ones included, whatever their names.
+
+Null texts count as empty. Texts without words are near copies of each other, so one of them all stays;
+the other stages leave them alone. Rows without an id are kept, cut and packed like others; where they
+are near copies, a row with an id stays first. Rows that repeat as a whole leave one after the second
+stage. Empty documents go through all stages as empty tables. Without labels of both classes the first
+stage gives all rows one score; an empty benchmark keeps all rows.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from pyspark.sql import functions as F
 
 from encore.llm import decontaminate, packing, quality, repeats, simhash
 from encore.llm.common import table
-from encore.session import materialise
+from encore.session import materialise, tune
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ ORACLE_SQL = None  # SQL expresses neither a trained classifier nor best-fit pac
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(tune(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
