@@ -61,6 +61,7 @@ CATEGORICAL = [
     "aisle_id", "department_id", "order_dow", "order_hour_of_day", "user_prod_reordered",
     "user_prod_recentlydiscovered",
 ]
+CATEGORY_VALUES = 10_000  # of all category features, at most
 HOLDOUT_DROPPED = [
     "user_prod_recentlydiscovered", "hour_prod_user_reorder_prob", "prod_norder",
     "user_prod_order_interval", "week_prod_user_reorder_prob", "order_hour_of_day",

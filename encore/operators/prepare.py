@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from encore.config import DEBUG_ROWS, FOLDS, HOLDOUT_DROPPED, KEYS
+from encore.config import CATEGORICAL, CATEGORY_VALUES, DEBUG_ROWS, FOLDS, HOLDOUT_DROPPED, KEYS
 
 
 def prepare(matrix: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
@@ -16,6 +16,60 @@ def prepare(matrix: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
     return matrix.drop(*drop)
 
 
+def category_dictionary(matrix: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """(feature, value, code, rows): codes of each category feature, the most frequent value first.
+
+    Values are text, ties go by it. One aggregate counts all features; only counts are ranked. NULL
+    has no entry.
+    """
+    values = F.array(*[
+        F.struct(F.lit(name).alias("feature"), F.col(name).cast("string").alias("value"))
+        for name in columns])
+    counts = matrix.select(F.inline(values)).filter("value is not null").groupBy(
+        "feature", "value").agg(F.count("*").alias("rows"))
+    ranked = Window.partitionBy("feature").orderBy(F.desc("rows"), "value")
+    return counts.select(
+        "feature", "value", (F.row_number().over(ranked) - 1).alias("code"), "rows")
+
+
+def category_values(dictionary: DataFrame, limit: int = CATEGORY_VALUES) -> dict[str, list[str]]:
+    """The values of each feature in the order of their codes.
+
+    They become literals and bins of trees, so a dictionary of more than ``limit`` is refused.
+    """
+    found = dictionary.select("feature", "value", "code").limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} values of category features")
+    values: dict[str, list[str]] = {}
+    for row in sorted(found, key=lambda row: row["code"]):
+        values.setdefault(row["feature"], []).append(row["value"])
+    return values
+
+
+def coded(
+    matrix: DataFrame, values: dict[str, list[str]], columns: Sequence[str] = CATEGORICAL,
+) -> DataFrame:
+    """The rows with codes instead of categories; a value that has none, or NULL, gets the next code."""
+
+    def code(name):
+        known = values.get(name, [])
+        if not known:
+            return F.lit(0)
+        codes = F.create_map(*[F.lit(x) for pair in zip(known, range(len(known)), strict=True) for x in pair])
+        # A missing key gives NULL, and NULL is no key.
+        return F.coalesce(F.try_element_at(codes, F.coalesce(F.col(name).cast("string"), F.lit(""))),
+                          F.lit(len(known)))
+
+    return matrix.withColumns({name: code(name) for name in columns if name in matrix.columns})
+
+
+def training_frame(
+    matrix: DataFrame, values: dict[str, list[str]], drop: Sequence[str] = ()
+) -> DataFrame:
+    """All labelled rows for a fit, or test rows for its scores: categories as codes, no dropped features."""
+    return coded(prepare(matrix, drop), values)
+
+
 def kfold(matrix: DataFrame, folds: int = FOLDS) -> Iterator[tuple[int, DataFrame, DataFrame]]:
     """(fold, train, valid) for each fold; a user is in one fold only.
 

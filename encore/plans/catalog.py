@@ -401,6 +401,21 @@ register("legacy_matrix", lambda t: earlier.legacy_matrix(t.labelled, t.orders,
 register("legacy_matrix_test", lambda t: earlier.legacy_matrix(t.test, t.orders, t.history))
 
 # Training-set preparation.
+register("category_codes", lambda t: prepare.category_dictionary(t.matrix("train")))
+
+
+def _frame(split):
+    """Rows of one split with the codes of the training rows."""
+    def frame(t):
+        train = materialise(t.matrix("train"), "matrix")
+        values = prepare.category_values(prepare.category_dictionary(train))
+        return comparable(prepare.training_frame(
+            train if split == "train" else t.matrix("test"), values))
+    return frame
+
+
+register("training_frame", _frame("train"))
+register("test_frame", _frame("test"))
 register("cv_fold_counts", lambda t: prepare.fold_counts(t.matrix("train")))
 register("debug_sample", lambda t: prepare.debug_sample(t.matrix("train")))
 register("debug_fold_counts",

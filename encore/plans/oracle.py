@@ -460,7 +460,7 @@ def _bracketed(name: str, low: float, high: float, tolerance: float, points: int
 
 
 def _bodies() -> dict[str, str]:
-    from encore.config import HOLDOUT_DROPPED, KEYS
+    from encore.config import CATEGORICAL, HOLDOUT_DROPPED, KEYS
     from encore.plans.catalog import BRACKETS, SCALED
 
     dropped = ", ".join(HOLDOUT_DROPPED)
@@ -482,7 +482,24 @@ def _bodies() -> dict[str, str]:
         SELECT seed, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives
         FROM {source} GROUP BY seed"""
     debug_sample = f"SELECT * FROM train_matrix ORDER BY {keys} LIMIT 10000"
+    values = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value, count(*) AS rows FROM train_matrix "
+        f"WHERE {c} IS NOT NULL GROUP BY ALL" for c in CATEGORICAL)
+    codes = f"""
+        SELECT feature, value, rows, CAST(row_number() OVER (
+            PARTITION BY feature ORDER BY rows DESC, value) - 1 AS INTEGER) AS code FROM ({values})"""
+    code = ", ".join(
+        f"CAST(coalesce(d_{c}.code, (SELECT count(*) FROM codes WHERE feature = '{c}')) AS INTEGER) AS {c}"
+        for c in CATEGORICAL)
+    joins = " ".join(
+        f"LEFT JOIN codes d_{c} ON d_{c}.feature = '{c}' AND d_{c}.value = CAST(m.{c} AS VARCHAR)"
+        for c in CATEGORICAL)
+    frame = (f"SELECT * FROM (WITH codes AS ({codes}) "
+             f"SELECT m.* EXCLUDE ({', '.join(CATEGORICAL)}), {code} FROM {{source}} m {joins})")
     return {
+        "category_codes": codes,
+        "training_frame": frame.format(source="train_matrix"),
+        "test_frame": frame.format(source="test_matrix"),
         "canonical_orders": orders,
         "canonical_order_products": "SELECT * FROM prior_lines",
         "canonical_order_products_train": "SELECT * FROM truth_lines",

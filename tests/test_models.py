@@ -1,6 +1,7 @@
 """Properties of the fitted models; scores are not reproducible in SQL."""
 
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +174,20 @@ def test_many_categories_get_bins(matrix):
     train = matrix.withColumn("aisle_id", F.col("product_id") % 300)
     model = trees.fit_gbt(train, ["aisle_id"], GbtParams(rounds=1, depth=1, min_rows=1, max_bins=8))
     assert trees.score(model, train, ["aisle_id"]).count() == train.count()
+
+
+def test_folds_share_a_dictionary_of_categories(spark, matrix):
+    values = prepare.category_values(prepare.category_dictionary(matrix))
+    few = matrix.filter("aisle_id < 5")
+    model = trees.fit_gbt(few, ["aisle_id", "user_prod_norder"], replace(SMALL, rounds=2), values=values)
+    assert list(model.stages[0].labelsArray[0]) == values["aisle_id"]
+    # The indexer of the model and the coded frame agree, unseen values and NULL included.
+    odd = few.limit(1).withColumn("aisle_id", F.lit(-7).cast(few.schema["aisle_id"].dataType))
+    none = few.limit(1).withColumn("aisle_id", F.lit(None).cast(few.schema["aisle_id"].dataType))
+    rows = trees.filled(matrix.unionByName(odd).unionByName(none), ["aisle_id"])
+    indexed = model.stages[0].transform(rows)
+    compared = prepare.coded(indexed.withColumn("order_dow", F.col("aisle_id")),
+                             {"aisle_id": values["aisle_id"]}, ["aisle_id"])
+    assert compared.filter(~F.col("_x_aisle_id").eqNullSafe(F.col("aisle_id").cast("double"))).isEmpty()
+    with pytest.raises(ValueError, match="more than 3"):
+        prepare.category_values(prepare.category_dictionary(matrix), limit=3)
