@@ -11,6 +11,8 @@ direction, and treat their suffixes together in array operations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 BATCH = 8192  # suffixes of names that are induced together, unless one name has more
@@ -24,14 +26,14 @@ def smaller_types(text: np.ndarray) -> np.ndarray:
     rises[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
     rises[-1] = -1
     # Equal names take the type of the next unequal pair.
-    at = np.where(rises != 0, np.arange(n), n - 1)
+    at = np.where(rises != 0, np.arange(n, dtype=np.int32), np.int32(n - 1))
     decided = np.minimum.accumulate(at[::-1])[::-1]
     return rises[decided] > 0
 
 
 def leftmost(smaller: np.ndarray) -> np.ndarray:
     """Positions of the smaller suffixes that follow a larger one."""
-    return np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    return np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + np.int32(1)
 
 
 def deal(sa: np.ndarray, found: np.ndarray, keys: np.ndarray, edge: np.ndarray, up: bool) -> None:
@@ -103,7 +105,7 @@ def induce(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, lms: np.ndarr
 def names_of(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Ranks of the leftmost-smaller substrings, in text order; equal substrings share a rank."""
     n = len(text)
-    place = np.searchsorted(lms, ordered)
+    place = np.searchsorted(lms, ordered).astype(np.int32)
     length = np.diff(np.append(lms, n - 1))[place] + 1
     differs = length[1:] != length[:-1]
     active = np.flatnonzero(~differs)
@@ -115,18 +117,21 @@ def names_of(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarr
         active = active[equal]
         step += 1
         active = active[length[active] > step]
-    names = np.empty(len(lms), np.int64)
+    names = np.empty(len(lms), np.int32)
     names[place] = np.concatenate(([0], np.cumsum(differs)))
     return names
 
 
-def sorted_leftmost(text: np.ndarray, lms: np.ndarray, rough: np.ndarray) -> np.ndarray:
-    """The leftmost-smaller suffixes in order, from an array that is induced from them unsorted."""
+def sorted_leftmost(text: np.ndarray, lms: np.ndarray, induced: Callable) -> np.ndarray:
+    """The leftmost-smaller suffixes in order; ``induced`` gives the array of all from unsorted ones."""
     if not len(lms):
         return lms
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
-    return lms[order_of_names(names_of(text, lms, rough[is_lms[rough]]))]
+    rough = induced(lms)
+    names = names_of(text, lms, rough[is_lms[rough]])
+    del rough, is_lms  # not held while the names are sorted
+    return lms[order_of_names(names)]
 
 
 def side_order(
@@ -140,14 +145,14 @@ def side_order(
     names: names of few places share one, a frequent name has its own.
     """
     n = len(text)
-    found = np.flatnonzero(wanted)
+    found = np.flatnonzero(wanted).astype(np.int32)
     sizes = np.bincount(text[found], minlength=int(text.max()) + 1)
-    ends = np.cumsum(sizes)  # among the wanted ones by name
+    ends = np.cumsum(sizes, dtype=np.int64)  # among the wanted ones by name
     both = sizes + np.bincount(text[seeds], minlength=len(sizes))
     starts = np.cumsum(both) - both  # of buckets among all slots
     # Places among all suffixes; a wanted one's is its bucket's start until it is known. The empty
     # suffix, the least, comes last in the array and is so also at -1.
-    place = np.full(n + 1, -1, np.int64)
+    place = np.full(n + 1, -1, np.int32)
     place[found] = starts[text[found]]
     seed_names = text[seeds]
     order = np.argsort(seed_names, kind="stable")
@@ -156,14 +161,15 @@ def side_order(
     # Where a run of wanted suffixes of one name ends, and what follows it.
     goes_on = np.zeros(n, bool)
     goes_on[:-1] = (text[1:] == text[:-1]) & wanted[1:] & wanted[:-1]
-    stops = np.where(goes_on, n, np.arange(n))
-    last = np.minimum.accumulate(stops[::-1])[::-1]
+    last = np.where(goes_on, np.int32(n), np.arange(n, dtype=np.int32))
+    last = np.minimum.accumulate(last[::-1])[::-1]
     run = last[found] - found
-    by_name = np.lexsort((run, text[found]))
+    by_name = np.lexsort((run, text[found])).astype(np.int32)
     by_name, run = found[by_name], run[by_name]
     kind = text[by_name]
     differs = (kind[1:] != kind[:-1]) | (run[1:] != run[:-1])
-    kind = np.concatenate(([0], np.cumsum(differs)))  # ranks of name and run
+    kind = np.zeros(len(found), np.int32)  # ranks of name and run
+    np.cumsum(differs, out=kind[1:])
 
     def settle(low: int, high: int) -> None:
         """Place the wanted suffixes whose names are in [low, high)."""
@@ -185,7 +191,7 @@ def side_order(
             steps += 1
         name = text[some]
         first = starts[name] - (ends - sizes)[name] + own.start
-        rank = (kind[own] - kind[own.start:own.start + 1]) * (n + 1) + 1
+        rank = (kind[own] - kind[own.start:own.start + 1]) * np.int64(n + 1) + 1
         for _ in range(steps):
             key = rank + place[after]
             by = np.argsort(key)
@@ -201,8 +207,10 @@ def side_order(
         upto = max(at + 1, int(np.searchsorted(ends[names], before + BATCH, side="right")))
         settle(int(names[at]), int(names[upto - 1]) + 1)
         at = upto
-    everything = np.concatenate([found, seeds])
-    return everything[np.argsort(place[everything])]
+    ordered = np.empty(len(found) + len(seeds), np.int32)
+    ordered[place[found]] = found
+    ordered[place[seeds]] = seeds
+    return ordered
 
 
 def induce_names(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -219,17 +227,17 @@ def order_of_names(names: np.ndarray) -> np.ndarray:
         return np.argsort(names)  # no two are equal
     smaller = smaller_types(names)
     lms = leftmost(smaller)
-    return induce_names(names, smaller, sorted_leftmost(names, lms, induce_names(names, smaller, lms)))
+    lms = sorted_leftmost(names, lms, lambda unsorted: induce_names(names, smaller, unsorted))
+    return induce_names(names, smaller, lms)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start positions of the suffixes of a non-empty uint8 array, in order."""
-    lms = leftmost(smaller_types(text)).astype(np.int32)
+    lms = leftmost(smaller_types(text))
     counts = np.bincount(text, minlength=256)
     ends = np.cumsum(counts)
     starts = ends - counts
-    if len(lms):
-        lms = sorted_leftmost(text, lms, induce(text, starts, ends, lms))
+    lms = sorted_leftmost(text, lms, lambda unsorted: induce(text, starts, ends, unsorted))
     return induce(text, starts, ends, lms)
 
 
