@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -218,32 +217,38 @@ def bucket_repeats(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 def cut_stretches(batches: Iterator[pa.RecordBatch], length: int):
     """(shard, split, doc, content, start, stretch) from documents with their runs."""
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    names = ("shard", "split", "doc", "content", "start", "stretch")
-
-    def stretches():
-        for batch in batches:
-            docs, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (doc, content) in enumerate(zip(docs, contents, strict=True)):
-                data = batch.column(2)[i].as_py().encode()  # one document's runs at a time
-                for r in batch.column(3)[i].as_py():
-                    start = r["start"]
-                    yield (r["shard"], r["split"], doc, content, start,
-                           data[start:start + r["run"] + length - 1])
+    for batch in batches:
+        found = batch.column(3)
+        owner = np.repeat(np.arange(len(batch)), found.value_lengths().to_numpy())
+        runs = found.flatten()
+        start, run = runs.field("start").to_numpy(), runs.field("run").to_numpy()
+        for a in range(0, len(runs), SENT_ROWS):
+            own, low = owner[a:a + SENT_ROWS], start[a:a + SENT_ROWS]
+            high = low + run[a:a + SENT_ROWS] + (length - 1)
+            edges = np.flatnonzero(np.diff(own, prepend=-1)).tolist()
+            stretches = []
+            for x, y in zip(edges, [*edges[1:], len(own)], strict=True):
+                data = batch.column(2)[int(own[x])].as_py().encode()  # one document at a time
+                stretches += [data[i:j] for i, j in zip(low[x:y].tolist(), high[x:y].tolist(), strict=True)]
+            sent = pa.array(own)
+            yield pa.RecordBatch.from_arrays(
+                [*(runs.field(name).slice(a, SENT_ROWS) for name in ("shard", "split")),
+                 batch.column(0).take(sent), batch.column(1).take(sent), pa.array(low),
+                 pa.array(stretches, pa.binary())],
+                names=["shard", "split", "doc", "content", "start", "stretch"])
 
-    found = stretches()
-    while part := list(islice(found, SENT_ROWS)):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, k) for v, k in zip(zip(*part, strict=True), kinds, strict=True)],
-            names=names)
 
+def spans_of(removable: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(owner, low, high): byte ranges of the strings that start at the given places of a text.
 
-def spans_of(removable: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-    """Byte ranges, within a stretch, of the strings that start at the given places."""
-    if len(removable):
-        breaks = np.flatnonzero(np.diff(removable) > length) + 1
-        for part in np.split(removable, breaks):
-            yield int(part[0]), int(part[-1]) + length
+    No range goes over from one stretch of the text to the next; ``owner`` tells whose a place is.
+    """
+    own = owner[removable]
+    new = np.ones(len(removable), bool)
+    new[1:] = (own[1:] != own[:-1]) | (np.diff(removable) > length)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(removable)) - 1
+    return own[first], removable[first], removable[last[:len(first)]] + length
 
 
 def shard_repeats(length: int) -> Callable[[pa.Table], pa.Table]:
@@ -254,58 +259,58 @@ def shard_repeats(length: int) -> Callable[[pa.Table], pa.Table]:
         split = table.column("split").to_numpy(zero_copy_only=False)
         stretches = table.column("stretch").to_pylist()
         order = np.lexsort((start, content, doc)).tolist()  # earliest first
-        found = {name: [] for name in ("doc", "content", "low", "high", "left", "right")}
-
-        def add(at, low, high, left=None, right=None):
-            row = (int(doc[at]), int(content[at]), int(start[at]) + low, int(start[at]) + high)
-            for column, value in zip(found.values(), (*row, left, right), strict=True):
-                column.append(value)
+        found = []
+
+        def add(at, low, high, hashes=None):
+            at = np.asarray(at, np.int64)
+            left, right = (None, None) if hashes is None else hashes.T
+            columns = (doc[at], content[at], start[at] + low, start[at] + high, left, right)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            found.append(pa.table({
+                name: pa.nulls(len(at), kind) if values is None else pa.array(values, kind)
+                for name, values, kind in zip(
+                    ("doc", "content", "low", "high", "left", "right"), columns, kinds, strict=True)}))
 
         earliest: dict[bytes, int] = {}
-        for at in order:
-            first = earliest.setdefault(stretches[at], at)
-            if (doc[first], content[first], start[first]) != (doc[at], content[at], start[at]):
-                add(at, 0, len(stretches[at]))
-        kept = list(earliest.values())  # distinct stretches, earliest first
-        sizes = np.array([len(stretches[at]) + 1 for at in kept])
+        first = np.array([earliest.setdefault(stretches[at], at) for at in order], np.int64)
+        at = np.array(order, np.int64)
+        later = (doc[first] != doc[at]) | (content[first] != content[at]) | (start[first] != start[at])
+        lengths = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        add(at[later], 0, lengths[at[later]])
+        kept = np.fromiter(earliest.values(), np.int64, len(earliest))  # distinct stretches, earliest first
+        sizes = lengths[kept] + 1
         edges = np.cumsum(sizes) - sizes
         text = np.frombuffer(SEPARATOR.join(stretches[at] for at in kept) + SEPARATOR, np.uint8)
         sa = suffix_array(text)
         cap = int(sizes.max()) + length
         shared = common_prefixes(text, sa, edges, cap)[sa]
-        room = np.repeat(edges + sizes - 1, sizes) - np.arange(len(text))  # up to the separator
-        whole = room[sa] >= length
+        owner = np.repeat(np.arange(len(kept), dtype=np.int32), sizes)
+        place = np.arange(len(text), dtype=np.int32) - edges.astype(np.int32)[owner]  # in its stretch
+        whole = (place <= (lengths[kept] - length).astype(np.int32)[owner])[sa]
         # Neighbours in the array that share the length hold the same string.
         again = (shared >= length) & whole
-        group = np.cumsum(~again) - 1
-        owner = np.repeat(np.arange(len(kept)), sizes)
+        group = np.cumsum(~again, dtype=np.int32) - np.int32(1)
         # What is earlier goes by document, then by place in it: stretches of one can overlap.
         at_doc = np.concatenate(([0], np.cumsum(
             (np.diff(doc[kept]) != 0) | (np.diff(content[kept]) != 0))))
-        place = start[kept].astype(np.int64)[owner] + np.arange(len(text)) - edges[owner]
-        rank_of = (at_doc[owner].astype(np.int64) << 32 | place)[sa]
+        rank_of = ((at_doc << 32) + start[kept])[owner] + place
+        rank_of = rank_of[sa]
         least = np.minimum.reduceat(rank_of, np.flatnonzero(~again))
         is_first = rank_of == least[group]
         removable = np.zeros(len(text), bool)
         removable[sa[whole & ~is_first]] = True
-        touched = np.unique(owner[removable])
-        for k in touched.tolist():
-            inside = np.flatnonzero(removable[edges[k]:edges[k] + sizes[k]])
-            for low, high in spans_of(inside, length):
-                add(kept[k], low, high)
+        own, low, high = spans_of(np.flatnonzero(removable), owner, length)
+        add(kept[own], low - edges[own], high - edges[own])
         hot = np.zeros(len(text), bool)
         hot[sa[whole & is_first]] = True
         hot &= split[kept][owner]
-        for position in np.flatnonzero(hot).tolist():
-            k = owner[position]
-            low = position - int(edges[k])
-            digest = xxhash.xxh3_128_digest(stretches[kept[k]][low:low + length])
-            left, right = np.frombuffer(digest, "<i8").tolist()
-            add(kept[k], low, low + length, left, right)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.table({
-            name: pa.array(values, kind)
-            for (name, values), kind in zip(found.items(), kinds, strict=True)})
+        hot = np.flatnonzero(hot)
+        if len(hot):
+            data = text.tobytes()
+            digests = b"".join([xxhash.xxh3_128_digest(data[p:p + length]) for p in hot.tolist()])
+            own, low = owner[hot], place[hot]
+            add(kept[own], low, low + length, np.frombuffer(digests, "<i8").reshape(-1, 2))
+        return pa.concat_tables(found)
 
     return find
 

@@ -105,18 +105,20 @@ def induce(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, lms: np.ndarr
 def names_of(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Ranks of the leftmost-smaller substrings, in text order; equal substrings share a rank."""
     n = len(text)
-    place = np.searchsorted(lms, ordered).astype(np.int32)
-    length = np.diff(np.append(lms, n - 1))[place] + 1
+    place = np.empty(n, np.int32)
+    place[lms] = np.arange(len(lms), dtype=np.int32)
+    place = place[ordered]
+    length = np.diff(np.append(lms, np.int32(n - 1)))[place] + np.int32(1)
     differs = length[1:] != length[:-1]
-    active = np.flatnonzero(~differs)
+    active = np.flatnonzero(~differs).astype(np.int32)
+    a, b, left = ordered[active], ordered[active + 1], length[active]
     step = 0
     while len(active):
-        a, b = ordered[active] + step, ordered[active + 1] + step
-        equal = text[a] == text[b]
+        equal = text[a + step] == text[b + step]
         differs[active[~equal]] = True
-        active = active[equal]
         step += 1
-        active = active[length[active] > step]
+        equal &= left > step
+        active, a, b, left = active[equal], a[equal], b[equal], left[equal]
     names = np.empty(len(lms), np.int32)
     names[place] = np.concatenate(([0], np.cumsum(differs)))
     return names
@@ -146,28 +148,30 @@ def side_order(
     """
     n = len(text)
     found = np.flatnonzero(wanted).astype(np.int32)
-    sizes = np.bincount(text[found], minlength=int(text.max()) + 1)
+    found_names, seed_names = text[found], text[seeds]
+    sizes = np.bincount(found_names, minlength=int(text.max()) + 1)
     ends = np.cumsum(sizes, dtype=np.int64)  # among the wanted ones by name
-    both = sizes + np.bincount(text[seeds], minlength=len(sizes))
+    seed_sizes = np.bincount(seed_names, minlength=len(sizes))
+    both = sizes + seed_sizes
     starts = np.cumsum(both) - both  # of buckets among all slots
     # Places among all suffixes; a wanted one's is its bucket's start until it is known. The empty
     # suffix, the least, comes last in the array and is so also at -1.
     place = np.full(n + 1, -1, np.int32)
-    place[found] = starts[text[found]]
-    seed_names = text[seeds]
+    place[found] = starts[found_names]
     order = np.argsort(seed_names, kind="stable")
-    within = np.arange(len(seeds)) - np.searchsorted(seed_names[order], seed_names[order])
-    place[seeds[order]] = (starts + sizes)[seed_names[order]] + within
+    # In its bucket a seed stands behind the wanted ones and the seeds before it.
+    first_seed = starts + sizes - (np.cumsum(seed_sizes) - seed_sizes)
+    place[seeds[order]] = first_seed[seed_names[order]] + np.arange(len(seeds))
     # Where a run of wanted suffixes of one name ends, and what follows it.
     goes_on = np.zeros(n, bool)
     goes_on[:-1] = (text[1:] == text[:-1]) & wanted[1:] & wanted[:-1]
     last = np.where(goes_on, np.int32(n), np.arange(n, dtype=np.int32))
     last = np.minimum.accumulate(last[::-1])[::-1]
     run = last[found] - found
-    by_name = np.lexsort((run, text[found])).astype(np.int32)
-    by_name, run = found[by_name], run[by_name]
-    kind = text[by_name]
-    differs = (kind[1:] != kind[:-1]) | (run[1:] != run[:-1])
+    kind = found_names * np.int64(n + 1) + run
+    by_name = np.argsort(kind)  # what ties here is told apart by its place
+    kind, by_name = kind[by_name], found[by_name]
+    differs = kind[1:] != kind[:-1]
     kind = np.zeros(len(found), np.int32)  # ranks of name and run
     np.cumsum(differs, out=kind[1:])
 
@@ -249,17 +253,17 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, firsts: np.ndarray, cap: i
     lower bounds beyond it.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    position = np.arange(n)
+    position = np.arange(n, dtype=np.int32)
     fresh = (before <= 0) | (position == 0)
     fresh[1:] |= text[position[1:] - 1] != text[before[1:] - 1]
     fresh[firsts] = True
-    i = np.flatnonzero(fresh & (before >= 0))
+    i = np.flatnonzero(fresh & (before >= 0)).astype(np.int32)
     j = before[i]
     padded = np.concatenate([text, np.zeros(16, np.uint8)])
-    blocks = np.ndarray((n + 8,), np.dtype("<u8"), padded.tobytes(), strides=(1,))
-    shared = np.zeros(len(i), np.int64)
+    blocks = np.ndarray((n + 8,), np.dtype("<u8"), padded, strides=(1,))
+    shared = np.zeros(len(i), np.int32)
     active = np.arange(len(i))
     for step in range(0, cap, 8):
         a, b = i[active] + step, j[active] + step
@@ -277,7 +281,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, firsts: np.ndarray, cap: i
         if not len(active):
             break
     shared = np.minimum(shared, n - np.maximum(i, j))
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, np.int32)
     value[i] = shared
-    fresh_at = np.maximum.accumulate(np.where(fresh, position, 0))
+    fresh_at = np.maximum.accumulate(np.where(fresh, position, np.int32(0)))
     return np.maximum(value[fresh_at] - (position - fresh_at), 0)

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from encore.llm import repeats
@@ -157,3 +159,41 @@ def test_empty(spark):
     assert repeat_report(docs.limit(0)).count() == 0
     assert [r.n_removed for r in repeat_report(docs).collect()] == [0]
     assert remove_repeats(docs).collect() == docs.collect()
+
+
+def test_a_shard_takes_few_times_its_text():
+    """Arrays of 32-bit places and no Python row per range: memory and output of a shard."""
+    draw = random.Random(11)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(300)]
+    some = lambda n: " ".join(draw.choices(words, k=n)).encode()
+    shared = [some(40) for _ in range(50)]
+    stretches = [some(10) + draw.choice(shared) + some(10) for _ in range(2000)]
+    stretches += stretches[:500]
+    n = len(stretches)
+    table = pa.table({
+        "shard": pa.array([0] * n), "split": pa.array([i % 2 == 0 for i in range(n)]),
+        "doc": pa.array(range(n)), "content": pa.array(range(n)), "start": pa.array([7] * n, pa.int32()),
+        "stretch": pa.array(stretches, pa.binary())})
+    size = sum(map(len, stretches[:2000])) + 2000
+    tracemalloc.start()
+    found = repeats.shard_repeats(100)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 125 * size
+    assert found.filter(pa.array(np.array(found["left"].is_null()))).num_rows >= 500 + 1900
+
+
+def test_stretches_of_a_sliced_batch():
+    texts = ["0123456789" * 3, "é" + "abcdefghij" * 3, "x" * 40]
+    runs = [[{"start": 2, "run": 3, "shard": 5, "split": True}],
+            [{"start": i, "run": 1, "shard": i, "split": False} for i in range(7)],
+            [{"start": 0, "run": 30, "shard": 1, "split": True}]]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("run", pa.int32()), ("shard", pa.int64()),
+                               ("split", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3]), pa.array([4, 5, 6]), pa.array(texts), pa.array(runs, kind)],
+        names=["doc", "content", "whole", "found"])
+    rows = [r for b in repeats.cut_stretches(iter([batch.slice(1)]), 10) for r in b.to_pylist()]
+    assert [(r["doc"], r["content"], r["shard"], r["start"], r["split"]) for r in rows] == [
+        *((2, 5, i, i, False) for i in range(7)), (3, 6, 1, 0, True)]
+    assert [r["stretch"] for r in rows] == [texts[1].encode()[i:i + 10] for i in range(7)] + [b"x" * 39]
