@@ -180,3 +180,15 @@ def test_threshold_search(spark, low, high, tolerance):
     one = thresholds.threshold_search(df.filter("g = 1"), low, high, tolerance).first()
     assert tuple(one) == searched(groups[1], low, high, tolerance, thresholds.POINTS)
     assert thresholds.threshold_search(df.limit(0), low, high, tolerance).count() == 0
+
+
+def test_threshold_search_query_scores_once(retail, monkeypatch):
+    """Both brackets read the same stored rows."""
+    from encore.plans import catalog
+
+    read = []
+    search = thresholds.threshold_search
+    monkeypatch.setattr(thresholds, "threshold_search",
+                        lambda scored, *rest: read.append(scored.inputFiles()) or search(scored, *rest))
+    assert catalog.threshold_search(retail).count() == 2
+    assert len(read) == 2 and read[0] == read[1] and all("scored" in path for path in read[0])
