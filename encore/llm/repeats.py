@@ -289,14 +289,17 @@ def shard_repeats(length: int) -> Callable[[pa.Table], pa.Table]:
         whole = (place <= (lengths[kept] - length).astype(np.int32)[owner])[sa]
         # Neighbours in the array that share the length hold the same string.
         again = (shared >= length) & whole
+        del shared
         group = np.cumsum(~again, dtype=np.int32) - np.int32(1)
         # What is earlier goes by document, then by place in it: stretches of one can overlap.
         at_doc = np.concatenate(([0], np.cumsum(
             (np.diff(doc[kept]) != 0) | (np.diff(content[kept]) != 0))))
-        rank_of = ((at_doc << 32) + start[kept])[owner] + place
+        rank_of = ((at_doc << 32) + start[kept])[owner]
+        rank_of += place
         rank_of = rank_of[sa]
         least = np.minimum.reduceat(rank_of, np.flatnonzero(~again))
         is_first = rank_of == least[group]
+        del rank_of, group, least
         removable = np.zeros(len(text), bool)
         removable[sa[whole & ~is_first]] = True
         own, low, high = spans_of(np.flatnonzero(removable), owner, length)

@@ -16,6 +16,7 @@ from collections.abc import Callable
 import numpy as np
 
 BATCH = 8192  # suffixes of names that are induced together, unless one name has more
+COMPARED = 1 << 16  # places whose prefixes are compared at once
 CHAIN = 8  # batches with longer chains of names that induce each other are halved
 
 
@@ -175,8 +176,8 @@ def side_order(
     kind = np.zeros(len(found), np.int32)  # ranks of name and run
     np.cumsum(differs, out=kind[1:])
 
-    def settle(low: int, high: int) -> None:
-        """Place the wanted suffixes whose names are in [low, high)."""
+    def settle(low: int, high: int) -> bool:
+        """Place the wanted suffixes whose names are in [low, high); False if these should be halved."""
         own = slice(ends[low] - sizes[low], ends[high - 1])
         some = by_name[own]
         after = last[some] + 1
@@ -186,10 +187,7 @@ def side_order(
             if not len(inside):
                 break
             if steps == CHAIN:
-                middle = (low + high) // 2
-                settle(low, middle)
-                settle(middle, high)
-                return
+                return False
             inside = last[inside] + 1
             inside = inside[inside < n]
             steps += 1
@@ -203,13 +201,20 @@ def side_order(
             fresh = np.ones(len(some), bool)
             fresh[1:] = key[1:] != key[:-1]
             place[some[by]] = first[by] + np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        return True
 
     names = np.flatnonzero(sizes)
     at = 0
     while at < len(names):
         before = ends[names[at]] - sizes[names[at]]
         upto = max(at + 1, int(np.searchsorted(ends[names], before + BATCH, side="right")))
-        settle(int(names[at]), int(names[upto - 1]) + 1)
+        # A stack: a function that calls itself would keep these arrays until the garbage collector comes.
+        waiting = [(int(names[at]), int(names[upto - 1]) + 1)]
+        while waiting:
+            low, high = waiting.pop()
+            if not settle(low, high):
+                middle = (low + high) // 2
+                waiting += [(middle, high), (low, middle)]
         at = upto
     ordered = np.empty(len(found) + len(seeds), np.int32)
     ordered[place[found]] = found
@@ -259,29 +264,31 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, firsts: np.ndarray, cap: i
     fresh = (before <= 0) | (position == 0)
     fresh[1:] |= text[position[1:] - 1] != text[before[1:] - 1]
     fresh[firsts] = True
-    i = np.flatnonzero(fresh & (before >= 0)).astype(np.int32)
-    j = before[i]
+    places = np.flatnonzero(fresh & (before >= 0)).astype(np.int32)
     padded = np.concatenate([text, np.zeros(16, np.uint8)])
     blocks = np.ndarray((n + 8,), np.dtype("<u8"), padded, strides=(1,))
-    shared = np.zeros(len(i), np.int32)
-    active = np.arange(len(i))
-    for step in range(0, cap, 8):
-        a, b = i[active] + step, j[active] + step
-        inside = np.maximum(a, b) < n
-        active, a, b = active[inside], a[inside], b[inside]
-        differ = blocks[a] ^ blocks[b]
-        same = differ == 0
-        unequal = differ[~same]
-        low = unequal & (~unequal + np.uint64(1))
-        # Index of the lowest bit that differs, in bytes.
-        equal_bytes = (np.frexp(low.astype(np.float64))[1] - 1) // 8
-        shared[active[~same]] = step + equal_bytes
-        active = active[same]
-        shared[active] = step + 8
-        if not len(active):
-            break
-    shared = np.minimum(shared, n - np.maximum(i, j))
     value = np.zeros(n, np.int32)
-    value[i] = shared
+    for at in range(0, len(places), COMPARED):
+        i = places[at:at + COMPARED]
+        j = before[i]
+        shared = np.zeros(len(i), np.int32)
+        active = np.arange(len(i))
+        for step in range(0, cap, 8):
+            a, b = i[active] + step, j[active] + step
+            inside = np.maximum(a, b) < n
+            active, a, b = active[inside], a[inside], b[inside]
+            differ = blocks[a] ^ blocks[b]
+            same = differ == 0
+            unequal = differ[~same]
+            low = unequal & (~unequal + np.uint64(1))
+            # Index of the lowest bit that differs, in bytes.
+            equal_bytes = (np.frexp(low.astype(np.float64))[1] - 1) // 8
+            shared[active[~same]] = step + equal_bytes
+            active = active[same]
+            shared[active] = step + 8
+            if not len(active):
+                break
+        value[i] = np.minimum(shared, n - np.maximum(i, j))
+    del before, places
     fresh_at = np.maximum.accumulate(np.where(fresh, position, np.int32(0)))
     return np.maximum(value[fresh_at] - (position - fresh_at), 0)

@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 import tracemalloc
@@ -197,3 +198,20 @@ def test_stretches_of_a_sliced_batch():
     assert [(r["doc"], r["content"], r["shard"], r["start"], r["split"]) for r in rows] == [
         *((2, 5, i, i, False) for i in range(7)), (3, 6, 1, 0, True)]
     assert [r["stretch"] for r in rows] == [texts[1].encode()[i:i + 10] for i in range(7)] + [b"x" * 39]
+
+
+def test_sorting_keeps_no_arrays():
+    """Only the suffix array is left afterwards, also before the garbage collector comes."""
+    draw = random.Random(12)
+    text = np.frombuffer("".join(draw.choices("abcdefgh ", k=100_000)).encode(), np.uint8)
+    suffix_array(text[:1000])
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        sa = suffix_array(text)
+        left = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert sa.nbytes <= left < 2 * sa.nbytes
