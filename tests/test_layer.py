@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from conftest import SF_DIR
-from encore.operators import baseline, matrix
+from encore.operators import baseline, earlier, matrix
 from encore.plans import catalog
 from encore.sources import star
 
@@ -108,3 +108,8 @@ def test_training_rows_are_not_stored_twice(spark, monkeypatch, name):
     monkeypatch.setattr(catalog, "materialise", recorded)
     catalog.queries()[name](spark, SF_DIR)
     assert "matrix" not in stored
+
+
+def test_lines_by_slot_are_added_up_once_for_a_product(retail):
+    rows = earlier.legacy_matrix(retail.labelled, retail.orders, retail.history)
+    assert "lambdafunction" not in rows._jdf.queryExecution().optimizedPlan().toString()
