@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from conftest import SF_DIR
-from encore.operators import baseline, earlier, matrix
+from encore.operators import baseline, earlier, matrix, prepare
 from encore.plans import catalog
 from encore.sources import star
 
@@ -113,3 +113,15 @@ def test_training_rows_are_not_stored_twice(spark, monkeypatch, name):
 def test_lines_by_slot_are_added_up_once_for_a_product(retail):
     rows = earlier.legacy_matrix(retail.labelled, retail.orders, retail.history)
     assert "lambdafunction" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_rows_without_the_features_of_all(retail, monkeypatch):
+    """The same rows as from the whole matrix, from the users of some orders; orders are added where rows lack."""
+    whole, users = retail.matrix("train"), retail.tables.targets.filter("eval_set = 'train'").count()
+    for rows, per_order in ((40, 8), (300, 200), (10**6, 8)):
+        monkeypatch.setattr(matrix, "ROWS_PER_ORDER", per_order)
+        few = matrix.of_first_orders(retail.tables, "train", rows)
+        assert rows > 300 or few.targets.count() < users
+        wanted = prepare.debug_sample(whole, rows).collect()
+        assert retail.first_rows("train", rows).collect() == wanted
+        assert len(wanted) == min(rows, whole.count())
