@@ -100,3 +100,13 @@ def test_recall_in_a_topic(spark):
     found = {r.vec_id: r.component_id for r in near_vectors(table.repartition(8)).collect()}
     joined = sum(found[i] == found[n + i] for i in range(pairs))
     assert joined >= 0.9 * pairs
+
+
+@pytest.mark.parametrize("side", [8192, 100])
+def test_no_link_is_lost_by_the_passes(spark, monkeypatch, side):
+    """One pass over a window of one row leaves most near pairs apart: they are found all the same."""
+    monkeypatch.setattr(embedding_dedup, "SIDE_ROWS", side)
+    rows = case()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = sorted(map(tuple, near_vectors(table, passes=1, window=1).collect()), key=str)
+    assert found == sorted(((i, n, c, i is not None and i == c) for i, n, c in plain(rows)), key=str)
